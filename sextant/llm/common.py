@@ -58,3 +58,27 @@ def marked_spans(text: str, pattern: str) -> Column:
 def without_marks(text: str) -> Column:
     """The text, '' for null, with U+0001 as U+0000: as long as before, and neither is in any pattern."""
     return F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\x01"), F.lit("\x00"))
+
+
+def pieces(batches, text_at: int, most: int = 4 << 20):
+    """Cuts Arrow batches so that the text column of each piece has about `most` bytes, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.nan_to_num(np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)))
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def as_bytes(column) -> list:
+    """A string column's values as UTF-8 bytes, null as empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets_scan
+from . import decontaminate, line_dedup, pii, secrets_scan, topk
 from .common import table
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -19,8 +31,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_pii, op9_secret_scan)}
+    return {f.__name__: f for f in (op5_decontamination, op6_pii, op7_line_dedup, op9_secret_scan, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_top_k": topk.ORACLE}
