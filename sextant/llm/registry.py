@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, pii, secrets_scan, topk
+from . import decontaminate, html_text, line_dedup, pii, secrets_scan, topk, toxicity
 from .common import table
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +39,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op6_pii, op7_line_dedup, op9_secret_scan, op10_top_k)}
+    return {f.__name__: f for f in (op4_html_text, op5_decontamination, op6_pii, op7_line_dedup, op8_toxicity, op9_secret_scan, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
