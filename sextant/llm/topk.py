@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_QUERIES, BLOCK_ROWS, LEVELS = 4096, 4096, (2, 8)
+BLOCK_QUERIES, BLOCK_ROWS, LEVELS, DENSE = 4096, 2048, (2, 8), 0.02
 
 
 def scaled(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -57,9 +57,14 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def whole(q: np.ndarray, c: np.ndarray) -> bool:
+    """Whether doubles hold all partial sums of the inner products exactly."""
+    return not q.size or not c.size or np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2.0**53
+
+
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products of whole-number rows, pair by pair, as 64-bit whole numbers."""
-    if not q.size or np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2.0**53:
+    if whole(q, c):
         return np.einsum("ij,ij->i", q, c).astype(np.int64)
     return np.array([sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q, c, strict=True)], dtype=np.int64)
 
@@ -76,16 +81,24 @@ class Best:
 
     def add(self, ids: np.ndarray, c: np.ndarray) -> None:
         slack = self.slack[:, None] * (1 + np.abs(c).max(axis=1, initial=0))[None, :]
-        bound = self.levels[0] @ statistics(c, LEVELS[0]).T + slack
-        q, at = np.nonzero((bound >= self.least[:, None]) & (self.ids[:, None] != ids[None, :]))
-        for level, segments in zip(self.levels[1:], LEVELS[1:], strict=True):
-            fine, kept = statistics(c, segments), []
-            for a in range(0, len(q), 1 << 18):
-                i, j = q[a : a + (1 << 18)], at[a : a + (1 << 18)]
-                kept.append(np.einsum("ij,ij->i", level[i], fine[j]) + slack[i, j] >= self.least[i])
-            kept = np.concatenate(kept) if kept else np.zeros(0, bool)
-            q, at = q[kept], at[kept]
-        score = np.concatenate([exact(self.x[q[a : a + (1 << 17)]], c[at[a : a + (1 << 17)]]) for a in range(0, len(q), 1 << 17)]) if len(q) else np.zeros(0, np.int64)
+        alive = self.ids[:, None] != ids[None, :]
+        for level, segments in zip(self.levels, LEVELS, strict=True):
+            fine = statistics(c, segments)
+            if alive.mean() > DENSE:  # a product of whole matrices costs less than its pairs one by one
+                alive &= level @ fine.T + slack >= self.least[:, None]
+            else:
+                q, at = np.nonzero(alive)
+                alive[q, at] = np.einsum("ij,ij->i", level[q], fine[at]) + slack[q, at] >= self.least[q]
+        if alive.mean() > DENSE and whole(self.x, c):
+            scores = np.where(alive, self.x @ c.T, -np.inf)
+            least = self.least
+            if scores.shape[1] > self.k:
+                least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            q, at = np.nonzero(alive & (scores >= least[:, None]))
+            score = scores[q, at].astype(np.int64)
+        else:
+            q, at = np.nonzero(alive)
+            score = np.concatenate([exact(self.x[q[a : a + (1 << 17)]], c[at[a : a + (1 << 17)]]) for a in range(0, len(q), 1 << 17)]) if len(q) else np.zeros(0, np.int64)
         row, score, found = np.concatenate([self.row, q]), np.concatenate([self.score, score]), np.concatenate([self.id, ids[at]])
         order = np.lexsort((found, -score, row))
         row, score, found = row[order], score[order], found[order]
