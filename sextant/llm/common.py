@@ -82,3 +82,76 @@ def as_bytes(column) -> list:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def bit_filter(values: DataFrame, bits: int, chunks: int = 64) -> bytes:
+    """Packed bits of a Bloom filter with two slots a value, of a one-column table of longs. `bits` is a power of 2 and bounds
+    what comes to the driver."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    size = bits // chunks
+
+    def note(batches):
+        flags = np.zeros(bits, bool)
+        for x in batches:
+            flags[slots_of(x.column(0).to_numpy(), bits).ravel()] = True
+        if flags.any():
+            packed = np.packbits(flags).reshape(chunks, -1)
+            held = [c for c in range(chunks) if packed[c].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([zlib.compress(packed[c].tobytes(), 1) for c in held], pa.binary())], names=["chunk", "bits"])
+
+    def merge(key, table):
+        out = np.zeros(size // 8, np.uint8)
+        for b in table.column("bits").to_pylist():
+            out |= np.frombuffer(zlib.decompress(b), np.uint8)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    found = bytearray(bits // 8)
+    for r in values.mapInArrow(note, "chunk int, bits binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
+        found[r.chunk * (size // 8) : (r.chunk + 1) * (size // 8)] = r.bits
+    return bytes(found)
+
+
+def slots_of(values, bits: int):
+    """Two slots for each long."""
+    import numpy as np
+
+    x = mixed(values.astype(np.int64).view(np.uint64))
+    return np.stack([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)], axis=1).astype(np.int64)
+
+
+def mixed(x):
+    """A 64-bit finalizer: every bit of the result depends on every bit of x."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def held_by(flags, values):
+    """Which values are in the filter (flags: its packed bits as an array of bytes); never false for one that was put in."""
+    import numpy as np
+
+    slots = slots_of(values, 8 * len(flags))
+    return ((flags[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root): the connected components of staged edges (a, b), root being the least vertex. Each round takes the least label among
+    neighbours, hands it to the former root too, and then follows labels twice; every round's labels are staged."""
+    arcs = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "arcs")
+    labels = staged(arcs.groupBy("a").agg(F.least("a", F.min("b")).alias("l")).select(F.col("a").alias("v"), "l"), "labels")
+    while True:
+        near = arcs.join(labels, arcs["b"] == labels["v"]).select(F.col("a").alias("v"), "l")
+        least = near.union(labels).groupBy("v").agg(F.min("l").alias("m"))
+        moved = staged(labels.join(least, "v").select("v", "l", "m"), "moved")
+        if not moved.where("m < l").head(1):
+            return labels.withColumnRenamed("l", "root")
+        hooked = moved.select("v", F.col("m").alias("l")).union(moved.where("m < l").select(F.col("l").alias("v"), F.col("m").alias("l")))
+        jumped = staged(hooked.groupBy("v").agg(F.min("l").alias("l")), "hooked")
+        to = jumped.select(F.col("v").alias("w"), F.col("l").alias("next"))
+        labels = staged(jumped.join(to, F.col("l") == F.col("w"), "left").select("v", F.coalesce("next", "l").alias("l")), "labels")

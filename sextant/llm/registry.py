@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_dedup, packing, pii, secrets_scan, topk, toxicity
+from . import decontaminate, html_text, line_dedup, ngram_join, packing, pii, secrets_scan, topk, toxicity
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_html_text, op5_decontamination, op6_pii, op7_line_dedup, op8_toxicity, op9_secret_scan, op10_top_k)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op4_html_text, op5_decontamination, op6_pii, op7_line_dedup, op8_toxicity, op9_secret_scan, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
