@@ -116,11 +116,12 @@ def bit_filter(values: DataFrame, bits: int, chunks: int = 64) -> bytes:
 
 
 def slots_of(values, bits: int):
-    """Two slots for each long."""
+    """Two different slots for each long."""
     import numpy as np
 
     x = mixed(values.astype(np.int64).view(np.uint64))
-    return np.stack([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)], axis=1).astype(np.int64)
+    a, b = x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)
+    return np.stack([a, b ^ (a == b).astype(np.uint64)], axis=1).astype(np.int64)
 
 
 def mixed(x):
@@ -155,3 +156,57 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = staged(hooked.groupBy("v").agg(F.min("l").alias("l")), "hooked")
         to = jumped.select(F.col("v").alias("w"), F.col("l").alias("next"))
         labels = staged(jumped.join(to, F.col("l") == F.col("w"), "left").select("v", F.coalesce("next", "l").alias("l")), "labels")
+
+
+def seen_twice(df: DataFrame, produce, bits: int, chunks: int = 128, flush: int = 2_000_000) -> bytes:
+    """Packed bits of the slots (two a value) that values of df take at least twice; produce(batches) yields arrays of longs. A value that
+    occurs twice has all its slots in the filter. Tasks hand on which slots they saw once and twice, in compressed pieces
+    that are merged piece by piece; `bits` bounds what comes to the driver."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    size = bits // chunks
+    schema = pa.schema([("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+
+    def packed(slots):
+        flags = np.zeros(size, bool)
+        flags[slots] = True
+        return zlib.compress(np.packbits(flags).tobytes(), 1)
+
+    def note(batches):
+        held, n = [], 0
+
+        def flushed():
+            slots, counts = np.unique(np.concatenate(held), return_counts=True)
+            twice = slots[counts > 1]
+            rows = []
+            for c in np.unique(slots // size).tolist():
+                (a, b), (d, e) = np.searchsorted(slots, [c * size, (c + 1) * size]), np.searchsorted(twice, [c * size, (c + 1) * size])
+                rows.append((c, packed(slots[a:b] - c * size), packed(twice[d:e] - c * size)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for values in produce(batches):
+            x = slots_of(values, bits)
+            held.append(x.ravel())
+            n += x.size
+            if n > flush:
+                yield flushed()
+                n = 0
+        if n:
+            yield flushed()
+
+    def merge(key, table):
+        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
+        for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
+            a = np.frombuffer(zlib.decompress(a), np.uint8)
+            twice |= np.frombuffer(zlib.decompress(b), np.uint8) | (once & a)
+            once |= a
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
+
+    out = bytearray(bits // 8)
+    for r in df.mapInArrow(note, "chunk int, once binary, twice binary").groupBy("chunk").applyInArrow(merge, "chunk int, twice binary").collect():
+        out[r.chunk * (size // 8) : (r.chunk + 1) * (size // 8)] = r.twice
+    return bytes(out)

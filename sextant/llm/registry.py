@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_dedup, ngram_join, packing, pii, secrets_scan, topk, toxicity
+from . import decontaminate, html_text, line_dedup, ngram_join, packing, pii, secrets_scan, substring_dedup, topk, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages"))
 
@@ -47,7 +51,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op4_html_text, op5_decontamination, op6_pii, op7_line_dedup, op8_toxicity, op9_secret_scan, op10_top_k)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_substring_dedup, op4_html_text, op5_decontamination, op6_pii, op7_line_dedup, op8_toxicity, op9_secret_scan, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
