@@ -11,8 +11,8 @@ many times the input; instead
    hashes seen twice, a Bloom filter of at most MOST_BITS bits.
 2. Consecutive windows with one anchor form a block. Blocks with equal bytes are repeated as a whole: one hash stands
    for all their windows. They are counted by partial aggregates, so thousands of copies meet nowhere.
-3. Where blocks share an anchor but not all their bytes (at the edges of copies), one block of each kind is spelled out
-   window by window.
+3. Where blocks share an anchor but not all their bytes (at the edges of copies), one block of each kind is cut into parts of at most
+   STEP windows, which are compared likewise; of parts that still differ, one of each kind is spelled out window by window.
 
 `longest_previous_factor` builds the whole arrays for one text by prefix doubling, as a check and for single texts.
 
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, bit_filter, held_by, mixed, pieces, seen_twice, staged
 
-LEAST, GRAM, MOST_BITS, CHUNK = 200, 40, 1 << 28, 1 << 20
+LEAST, GRAM, STEP, MOST_BITS, CHUNK = 200, 40, 16, 1 << 28, 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -56,43 +56,54 @@ class Windows:
         n = len(data)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * powers[:n])])
         self.least = least
-        ends = np.cumsum([len(p) for p in parts])
-        begins = ends - [len(p) for p in parts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
         width = least - gram + 1
-        held = np.concatenate([np.arange(b, e - least + 1) for b, e in zip(begins.tolist(), ends.tolist(), strict=True) if e - b >= least] or [np.zeros(0, np.int64)])
-        if not len(held):
-            self.s = self.n = self.part = self.at = self.gram = self.block = held
+        counts = np.maximum(ends - begins - least + 1, 0)
+        if not counts.any():
+            self.s = self.n = self.part = self.at = self.gram = self.anchor = self.block = np.zeros(0, np.int64)
             return
-        q = np.arange(n - gram + 1)
-        grams = mixed(self.hashed(q, q + gram))
+        grams = mixed((self.sums[gram:] - self.sums[:-gram]) * self.inverse[: n - gram + 1])
         low = np.uint64((1 << 21) - 1)  # places within the run; hashes keep the bits above
-        best = (grams & ~low) | q.astype(np.uint64)
+        best = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         step = 1
         while 2 * step <= width:
             best = np.minimum(best[:-step], best[step:])
             step *= 2
         if width > step:
             best = np.minimum(best[: len(best) - (width - step)], best[width - step :])
-        anchor = (best[held] & low).astype(np.int64)
-        part = np.searchsorted(ends, held, side="right")
-        first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
-        s = held[first]
-        last = held[np.concatenate([first[1:], [True]])]
-        self.s, self.n, self.part, a = s, last - s + 1, part[first], anchor[first]
-        self.at = s - begins[self.part]
-        self.gram = grams[a].view(np.int64)
-        shape = (a - s).astype(np.uint64) * np.uint64(1 << 20) + self.n.astype(np.uint64)
-        self.block = mixed(mixed(self.hashed(s, last + least)) + shape).view(np.int64)
+        good = np.flatnonzero(counts)
+        best = np.concatenate([best[b : b + c] for b, c in zip(begins[good].tolist(), counts[good].tolist(), strict=True)])
+        offset = np.cumsum(counts[good]) - counts[good]  # of each part's first window among all
+        first = np.concatenate([[True], best[1:] != best[:-1]])  # anchors of two parts differ in their place
+        i = np.flatnonzero(first)
+        self.n = np.diff(np.concatenate([i, [len(best)]]))
+        which = np.searchsorted(offset, i, side="right") - 1
+        self.part, self.at = good[which], i - offset[which]
+        self.s = self.at + begins[self.part]
+        self.anchor = (best[i] & low).astype(np.int64)
+        self.gram = grams[self.anchor].view(np.int64)
+        self.block = self.shaped(self.s, self.n, self.anchor)
 
     def hashed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[b] - self.sums[a]) * self.inverse[a]
 
-    def spelled(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the windows of some blocks, and where each starts in its document's part."""
-        n = self.n[block]
-        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        p = np.repeat(self.s[block], n) + shift
-        return mixed(self.hashed(p, p + self.least)).view(np.int64), np.repeat(self.at[block], n) + shift
+    def shaped(self, s: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes of n windows from s, and of where their anchor stands."""
+        shape = (anchor - s).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)
+        return mixed(mixed(self.hashed(s, s + n - 1 + self.least)) + shape).view(np.int64)
+
+    def split(self, b: np.ndarray, unit: int) -> dict[str, np.ndarray]:
+        """Blocks b cut where the anchor's distance passes a multiple of unit, so that equal parts of different blocks are cut alike."""
+        n = self.n[b]
+        block = np.repeat(b, n)
+        p = self.s[block] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        step = (self.anchor[block] - p) // unit
+        i = np.flatnonzero(np.concatenate([[True], (step[1:] != step[:-1]) | (block[1:] != block[:-1])])) if len(p) else np.zeros(0, np.int64)
+        n, block, p = np.diff(np.concatenate([i, [len(p)]])), block[i], p[i]
+        group = mixed(self.gram[block].view(np.uint64) + step[i].astype(np.uint64)).view(np.int64)
+        return {"g": group, "c": self.shaped(p, n, self.anchor[block]), "part": self.part[block], "at": self.at[block] + p - self.s[block], "n": n, "block": block}
 
 
 def _runs(texts: list[bytes], least: int, gram: int):
@@ -117,7 +128,7 @@ def _runs(texts: list[bytes], least: int, gram: int):
 def _keys(ids: np.ndarray, texts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of a block's place: id, text's hash, start."""
     x = mixed(ids.view(np.uint64)) + texts.astype(np.int64).view(np.uint64)
-    return mixed(mixed(x) + at.astype(np.uint64)).view(np.int64)
+    return mixed(mixed(x) + at.astype(np.int64).astype(np.uint64)).view(np.int64)
 
 
 def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None) -> DataFrame:
@@ -147,60 +158,91 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
                     row = pa.array(rows[w.part[b]])
                     yield pa.RecordBatch.from_arrays([pa.array(w.gram[b]), pa.array(w.block[b]), ids.take(row), hashes.take(row), pa.array((w.at[b] + starts[w.part[b]])), pa.array(w.n[b].astype(np.int32))], names=["g", "c", "id", "x", "s", "n"])
 
-    found = staged(narrow.mapInArrow(blocks, "g long, c long, id long, x int, s long, n int"), "substring-blocks")
-    classes = staged(found.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s", "n")).alias("first")), "substring-classes")
-    several = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g")
-    probes = staged(classes.join(several, "g").select("first.id", "first.x", "first.s", "k"), "substring-probes")
+    whole = ~F.struct("id", "x", "s").eqNullSafe(F.struct("first.id", "first.x", "first.s")) if keep_first else F.lit(True)
 
-    copies = found.join(classes.where("k > 1").select("g", "c", "first"), ["g", "c"])
-    if keep_first:
-        copies = copies.where(~F.struct("id", "x", "s").eqNullSafe(F.struct("first.id", "first.x", "first.s")))
-    copies = copies.select("id", "x", "s", "n")
+    def repeated(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Of staged rows (g, c, id, x, s, n): those whose class c has others, and the first of each class of groups g with several."""
+        classes = staged(found.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")), f"substring-{name}-classes")
+        several = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g")
+        probes = staged(classes.join(several, "g").select("first.id", "first.x", "first.s"), f"substring-{name}-probes")
+        copies = found.join(classes.where("k > 1").select("g", "c", "first"), ["g", "c"]).where(whole)
+        return copies.select("id", "x", "s", "n"), probes
 
     def keys(batches):
         for x in batches:
-            ids = np.array([0 if i is None else i for i in x.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(ids, x.column(1).to_numpy(), x.column(2).to_numpy()))], names=["key"])
+            ids, hashes = _ids(x.column(0)), x.column(1).to_numpy()
+            both = np.concatenate([_keys(ids, hashes, x.column(2).to_numpy()), np.unique(_keys(ids, hashes, np.int64(-1)))])
+            yield pa.RecordBatch.from_arrays([pa.array(both)], names=["key"])
+
+    def asking(probes: DataFrame):
+        """A filter of the probes' places and of their rows."""
+        bits = min(MOST_BITS, max(1 << 14, 1 << (32 * probes.count()).bit_length()))
+        return spark.sparkContext.broadcast(bit_filter(probes.mapInArrow(keys, "key long"), bits))
+
+    def asked(batches, first, second=None):
+        """(batch, Windows, rows, starts, blocks asked for) of the rows asked for; what the filters hold beyond that is as real."""
+        flags = np.frombuffer((second or first).value, np.uint8)
+        inner = np.frombuffer(first.value, np.uint8)
+        for x in pieces(batches, 2):
+            ids, hashes = _ids(x.column(0)), x.column(1).to_numpy()
+            chosen = np.flatnonzero(held_by(flags, _keys(ids, hashes, np.int64(-1))))
+            texts = as_bytes(x.column(2).take(pa.array(chosen)))
+            for w, rows, starts in _runs(texts, least, gram):
+                rows = chosen[rows]
+                row = rows[w.part]
+                b = np.flatnonzero(held_by(inner, _keys(ids[row], hashes[row], w.at + starts[w.part]))) if len(row) else row
+                if len(b):
+                    yield x, ids, hashes, w, rows, starts, b
+
+    def batch_of(x, rows, starts, cut, good):
+        own = pa.array(rows[cut["part"][good]])
+        at = (cut["at"] + starts[cut["part"]])[good]
+        return pa.RecordBatch.from_arrays([pa.array(cut["g"][good]), pa.array(cut["c"][good]), x.column(0).take(own), x.column(1).take(own), pa.array(at), pa.array(cut["n"][good].astype(np.int32))], names=["g", "c", "id", "x", "s", "n"])
 
-    n_probes = probes.count()
-    asked = spark.sparkContext.broadcast(bit_filter(probes.select("id", "x", "s").mapInArrow(keys, "key long"), min(MOST_BITS, max(1 << 14, 1 << (16 * n_probes).bit_length()))))
+    schema = "g long, c long, id long, x int, s long, n int"
+    copies, probes = repeated(staged(narrow.mapInArrow(blocks, schema), "substring-blocks"), "block")
+    first = asking(probes)
+
+    def parts(batches):
+        for x, _, _, w, rows, starts, b in asked(batches, first):
+            cut = w.split(b, step)
+            yield batch_of(x, rows, starts, cut, slice(None))
+
+    step = max(1, min(STEP, least // 8))
+    more, probes = repeated(staged(narrow.mapInArrow(parts, schema), "substring-parts"), "part")
+    second = asking(probes)
 
     def spelled(twice=None):
-        """Windows of the blocks asked for (and of the odd other, whose windows are as real); hashes alone, or those seen twice with their places."""
+        """The single windows of the parts asked for: hashes alone, or those seen twice with their places."""
 
         def run(batches):
-            flags = np.frombuffer(asked.value, np.uint8)
-            seen = None if twice is None else np.frombuffer(twice.value, np.uint8)
-            for x in pieces(batches, 2):
-                ids = np.array([0 if i is None else i for i in x.column(0).to_pylist()], np.int64)
-                hashes = x.column(1).to_numpy()
-                for w, rows, starts in _runs(as_bytes(x.column(2)), least, gram):
-                    row = rows[w.part]
-                    at = w.at + starts[w.part]
-                    b = np.flatnonzero(held_by(flags, _keys(ids[row], hashes[row], at))) if len(row) else row
-                    if not len(b):
-                        continue
-                    h, p = w.spelled(b)
-                    if seen is None:
-                        yield h
-                        continue
-                    good = held_by(seen, h)
-                    row = np.repeat(row[b], w.n[b])[good]
-                    own = pa.array(row)
-                    p = (p + np.repeat(starts[w.part[b]], w.n[b]))[good]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[good]), x.column(0).take(own), x.column(1).take(own), pa.array(p)], names=["w", "id", "x", "s"])
+            flags, seen = np.frombuffer(second.value, np.uint8), None if twice is None else np.frombuffer(twice.value, np.uint8)
+            for x, ids, hashes, w, rows, starts, b in asked(batches, first, second):
+                cut = w.split(b, step)
+                row = rows[cut["part"]]
+                good = held_by(flags, _keys(ids[row], hashes[row], cut["at"] + starts[cut["part"]]))
+                p = np.repeat(cut["at"][good], cut["n"][good]) + np.arange(cut["n"][good].sum()) - np.repeat(np.cumsum(cut["n"][good]) - cut["n"][good], cut["n"][good])
+                part = np.repeat(cut["part"][good], cut["n"][good])
+                s = p + (w.s - w.at)[np.repeat(cut["block"][good], cut["n"][good])]
+                h = mixed(w.hashed(s, s + least)).view(np.int64)
+                if seen is None:
+                    yield h
+                else:
+                    yield batch_of(x, rows, starts, {"g": h, "c": h, "part": part, "at": p, "n": np.ones(len(p), np.int64)}, held_by(seen, h))
 
         return run
 
-    bits = min(MOST_BITS, max(1 << 16, 1 << int(16 * n_probes * (least - gram) // 2).bit_length()))
+    bits = min(MOST_BITS, max(1 << 16, 1 << int(16 * probes.count() * step // 2).bit_length()))
     again = spark.sparkContext.broadcast(seen_twice(narrow, spelled(), bits))
-    windows = staged(narrow.mapInArrow(spelled(again), "w long, id long, x int, s long"), "substring-windows")
-    runs = windows.groupBy("w").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")).where("k > 1")
-    hits = windows.join(runs, "w")
-    if keep_first:
-        hits = hits.where(~F.struct("id", "x", "s").eqNullSafe(F.col("first")))
-    every = copies.union(hits.select("id", "x", "s", F.lit(1).alias("n")))
-    return every.groupBy("id", "x").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+    windows = staged(narrow.mapInArrow(spelled(again), schema).select("c", "id", "x", "s"), "substring-windows")
+    runs = windows.groupBy("c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")).where("k > 1")
+    hits = windows.join(runs, "c").where(whole)
+    every = copies.union(more).union(hits.select("id", "x", "s", F.lit(1).alias("n")))
+    return every.groupBy("id", "x").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+
+
+def _ids(column) -> np.ndarray:
+    return np.array([0 if i is None else i for i in column.to_pylist()], np.int64)
 
 
 def text_hash(text_col: str):
