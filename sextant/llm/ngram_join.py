@@ -6,7 +6,8 @@ entries of the matrix times its transpose, and only entries that can reach the s
 1. A pair with similarity t shares at least t times the larger size. With columns ordered from rare to common, it
    must then share one of the first n - ceil(t n) + 1 columns of each row, so only those columns are multiplied. The order
    comes from a sketch of column counts over all documents; any order is right, a rare-first one is fast.
-2. Where the first shared column stands in both rows bounds the overlap from above; pairs below the bound are discarded.
+2. Where the first shared column stands in both rows bounds the overlap from above; pairs below the bound are discarded. So are those
+   whose parities (512 bits a row) differ in more places than the sizes allow the sets to differ.
 3. For the rest, overlap counts are accumulated over blocks of columns and given up once they cannot reach the bound.
 
 A column that many rows share would make the square of them. So each column first links its rows to one hub (the
@@ -37,6 +38,11 @@ from .common import as_bytes, bit_filter, components, held_by, mixed, pieces, st
 #: Slots of the sketch of column counts (4 bytes each, broadcast), its pieces, and the most bits of a document filter.
 SLOTS, CHUNKS, MOST_BITS = 1 << 21, 64, 1 << 27
 BLOCKS = 4
+PARITY = 8
+PARITY_BITS = 9
+
+
+BITS = [f"b{i}" for i in range(PARITY)]
 
 
 def ngrams(text: bytes, n: int) -> np.ndarray:
@@ -53,6 +59,12 @@ def ngrams(text: bytes, n: int) -> np.ndarray:
     return np.unique(mixed(x))
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """PARITY words of bits, each the parity of the n-grams that fall on it: two sets' bits differ in no more places than the sets do."""
+    bits = np.bincount((grams >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
 def set_key(grams: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64).view(np.int64)[0])
 
@@ -63,22 +75,23 @@ def _measured(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), *((b, pa.int64()) for b in BITS), ("chunk", pa.int32()), ("counts", pa.binary())])
         for x in pieces(batches, 1):
-            sizes, keys, held = [], [], []
+            sizes, keys, bits, held = [], [], [], []
             for t in as_bytes(x.column(1)):
                 g = ngrams(t, n)
                 sizes.append(len(g))
                 keys.append(set_key(g) if len(g) else None)
+                bits.append(parity(g))
                 held.append((g & np.uint64(SLOTS - 1)).astype(np.int64))
             counts += np.bincount(np.concatenate(held), minlength=SLOTS)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *map(pa.array, np.array(bits).T), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         packed = np.minimum(counts, 65535).astype(np.uint16).reshape(CHUNKS, size)
         none = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in packed], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, *[none] * PARITY, pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in packed], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n long, key long, chunk int, counts binary")
+    return docs.mapInArrow(run, "id long, n long, key long, " + "".join(f"{b} long, " for b in BITS) + "chunk int, counts binary")
 
 
 def _sketch(measured: DataFrame) -> np.ndarray:
@@ -127,6 +140,12 @@ def _bounded(num: int, den: int, a: str, b: str):
     return F.expr(f"{den}L * {small} >= {num}L * greatest({a}.n, {b}.n) and 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1 >= {need}")
 
 
+def _differ_little(num: int, den: int, a: str, b: str):
+    """Whether the parities allow as few differing n-grams as a link does."""
+    apart = " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in BITS)
+    return F.expr(f"{apart} <= floor(cast({den - num} as double) * ({a}.n + {b}.n) / {num + den} + 1e-9)")
+
+
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """den * intersection >= num * union, counted over blocks of columns and given up as soon as it is out of reach."""
     if len(x) > len(y):
@@ -191,6 +210,7 @@ def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     measured = staged(_measured(narrow, n), "ngram-sets")
     sets = measured.where("chunk is null").select("id", "n", "key")
+    bits = measured.where("key is not null").groupBy("key").agg(*[F.first(b).alias(b) for b in BITS])
     sketch = spark.sparkContext.broadcast(_sketch(measured))
 
     rows = staged(_prefixes(narrow, n, num, den, sketch).distinct(), "ngram-prefixes")
@@ -205,9 +225,9 @@ def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     placed = rows.join(found.toDF("key", "root"), "key", "left").select("gram", "key", "n", "pos", F.coalesce("root", "key").alias("comp"), F.col("hub.key").alias("hub"))
     mixed_columns = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("key") == F.col("hub"), F.col("comp"))).alias("main")).where("lo <> hi").select("gram", "main")
-    placed = staged(placed.drop("hub").join(mixed_columns, "gram"), "ngram-mixed")
+    placed = staged(placed.drop("hub").join(mixed_columns, "gram").join(bits, "key"), "ngram-mixed")
     few, every = placed.where("comp <> main").alias("f"), placed.alias("e")
-    more = few.join(every, F.expr("f.gram = e.gram and f.comp <> e.comp") & _bounded(num, den, "f", "e"))
+    more = few.join(every, F.expr("f.gram = e.gram and f.comp <> e.comp") & _bounded(num, den, "f", "e") & _differ_little(num, den, "f", "e"))
     more = more.select(*ordered(F.col("f.key"), F.col("e.key"))).distinct().join(pairs, ["a", "b"], "left_anti")
     found = components(staged(links.union(_verified(staged(more, "ngram-pairs"), narrow, sets, n, num, den)), "ngram-links"))
 
