@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, bit_filter, held_by, mixed, pieces, seen_twice, staged
 
-LEAST, GRAM, STEP, MOST_BITS, CHUNK = 200, 40, 16, 1 << 28, 1 << 20
+LEAST, GRAM, STEP, MOST_BITS, CHUNK = 200, 40, 16, 1 << 28, 1 << 18
 
 
 @lru_cache(maxsize=1)
