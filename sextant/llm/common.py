@@ -84,9 +84,9 @@ def as_bytes(column) -> list:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def bit_filter(values: DataFrame, bits: int, chunks: int = 64) -> bytes:
-    """Packed bits of a Bloom filter with two slots a value, of a one-column table of longs. `bits` is a power of 2 and bounds
-    what comes to the driver."""
+def bit_filter(df: DataFrame, bits: int, produce=None, chunks: int = 64) -> bytes:
+    """Packed bits of a Bloom filter with two slots a value, of the arrays of longs that produce(batches) yields; without it, of df's only
+    column. `bits` is a power of 2 and bounds what comes to the driver."""
     import zlib
 
     import numpy as np
@@ -96,8 +96,8 @@ def bit_filter(values: DataFrame, bits: int, chunks: int = 64) -> bytes:
 
     def note(batches):
         flags = np.zeros(bits, bool)
-        for x in batches:
-            flags[slots_of(x.column(0).to_numpy(), bits).ravel()] = True
+        for values in produce(batches) if produce else (x.column(0).to_numpy() for x in batches):
+            flags[slots_of(values, bits).ravel()] = True
         if flags.any():
             packed = np.packbits(flags).reshape(chunks, -1)
             held = [c for c in range(chunks) if packed[c].any()]
@@ -110,7 +110,7 @@ def bit_filter(values: DataFrame, bits: int, chunks: int = 64) -> bytes:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
 
     found = bytearray(bits // 8)
-    for r in values.mapInArrow(note, "chunk int, bits binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
+    for r in df.mapInArrow(note, "chunk int, bits binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
         found[r.chunk * (size // 8) : (r.chunk + 1) * (size // 8)] = r.bits
     return bytes(found)
 
@@ -158,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = staged(jumped.join(to, F.col("l") == F.col("w"), "left").select("v", F.coalesce("next", "l").alias("l")), "labels")
 
 
-def seen_twice(df: DataFrame, produce, bits: int, chunks: int = 128, flush: int = 2_000_000) -> bytes:
+def seen_twice(df: DataFrame, produce, bits: int, chunks: int = 128, flush: int = 500_000) -> bytes:
     """Packed bits of the slots (two a value) that values of df take at least twice; produce(batches) yields arrays of longs. A value that
     occurs twice has all its slots in the filter. Tasks hand on which slots they saw once and twice, in compressed pieces
     that are merged piece by piece; `bits` bounds what comes to the driver."""

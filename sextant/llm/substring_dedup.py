@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, bit_filter, held_by, mixed, pieces, seen_twice, staged
 
-LEAST, GRAM, STEP, MOST_BITS, CHUNK = 200, 40, 16, 1 << 28, 1 << 18
+LEAST, GRAM, STEP, MOST_BITS, CHUNK, PIECE = 200, 40, 16, 1 << 28, 1 << 18, 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -141,7 +141,7 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
     bits = min(MOST_BITS, max(1 << 16, 1 << int(16 * size * 2 // (least - gram + 2)).bit_length()))
 
     def grams(batches):
-        for x in pieces(batches, 2):
+        for x in pieces(batches, 2, PIECE):
             for w, _, _ in _runs(as_bytes(x.column(2)), least, gram):
                 if len(w.gram):
                     yield w.gram
@@ -150,7 +150,7 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
 
     def blocks(batches):
         flags = np.frombuffer(twice.value, np.uint8)
-        for x in pieces(batches, 2):
+        for x in pieces(batches, 2, PIECE):
             ids, hashes = x.column(0), x.column(1)
             for w, rows, starts in _runs(as_bytes(x.column(2)), least, gram):
                 b = np.flatnonzero(held_by(flags, w.gram))
@@ -171,19 +171,18 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
     def keys(batches):
         for x in batches:
             ids, hashes = _ids(x.column(0)), x.column(1).to_numpy()
-            both = np.concatenate([_keys(ids, hashes, x.column(2).to_numpy()), np.unique(_keys(ids, hashes, np.int64(-1)))])
-            yield pa.RecordBatch.from_arrays([pa.array(both)], names=["key"])
+            yield np.concatenate([_keys(ids, hashes, x.column(2).to_numpy()), _keys(ids, hashes, np.int64(-1))])
 
     def asking(probes: DataFrame):
         """A filter of the probes' places and of their rows."""
         bits = min(MOST_BITS, max(1 << 14, 1 << (32 * probes.count()).bit_length()))
-        return spark.sparkContext.broadcast(bit_filter(probes.mapInArrow(keys, "key long"), bits))
+        return spark.sparkContext.broadcast(bit_filter(probes, bits, keys))
 
     def asked(batches, first, second=None):
         """(batch, Windows, rows, starts, blocks asked for) of the rows asked for; what the filters hold beyond that is as real."""
         flags = np.frombuffer((second or first).value, np.uint8)
         inner = np.frombuffer(first.value, np.uint8)
-        for x in pieces(batches, 2):
+        for x in pieces(batches, 2, PIECE):
             ids, hashes = _ids(x.column(0)), x.column(1).to_numpy()
             chosen = np.flatnonzero(held_by(flags, _keys(ids, hashes, np.int64(-1))))
             texts = as_bytes(x.column(2).take(pa.array(chosen)))
@@ -200,7 +199,9 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
         return pa.RecordBatch.from_arrays([pa.array(cut["g"][good]), pa.array(cut["c"][good]), x.column(0).take(own), x.column(1).take(own), pa.array(at), pa.array(cut["n"][good].astype(np.int32))], names=["g", "c", "id", "x", "s", "n"])
 
     schema = "g long, c long, id long, x int, s long, n int"
-    copies, probes = repeated(staged(narrow.mapInArrow(blocks, schema), "substring-blocks"), "block")
+    found = staged(narrow.mapInArrow(blocks, schema), "substring-blocks")
+    twice.unpersist()
+    copies, probes = repeated(found, "block")
     first = asking(probes)
 
     def parts(batches):
