@@ -1 +1 @@
-"""Sextant: retrieval analytics on Spark DataFrames."""
+"""Whole searches as one lazy plan."""
