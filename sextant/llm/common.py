@@ -95,13 +95,16 @@ def bit_filter(df: DataFrame, bits: int, produce=None, chunks: int = 64) -> byte
     size = bits // chunks
 
     def note(batches):
-        flags = np.zeros(bits, bool)
-        for values in produce(batches) if produce else (x.column(0).to_numpy() for x in batches):
-            flags[slots_of(values, bits).ravel()] = True
-        if flags.any():
-            packed = np.packbits(flags).reshape(chunks, -1)
-            held = [c for c in range(chunks) if packed[c].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([zlib.compress(packed[c].tobytes(), 1) for c in held], pa.binary())], names=["chunk", "bits"])
+        held = [np.unique(slots_of(values, bits)) for values in (produce(batches) if produce else (x.column(0).to_numpy() for x in batches))]
+        slots = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        rows = []
+        for c in np.unique(slots // size).tolist():
+            a, b = np.searchsorted(slots, [c * size, (c + 1) * size])
+            flags = np.zeros(size, bool)
+            flags[slots[a:b] - c * size] = True
+            rows.append((c, zlib.compress(np.packbits(flags).tobytes(), 1)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "bits"])
 
     def merge(key, table):
         out = np.zeros(size // 8, np.uint8)
