@@ -280,7 +280,7 @@ Q3 = f"(SELECT src, dst, kind, n, src IN (SELECT 's' || s_suppkey FROM supplier
 
 
 @query(f"""SELECT src, dst, kind, round(score, 6) AS score, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, kind, dst) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY src, kind ORDER BY score DESC, kind, dst) AS k FROM (
- SELECT src, dst, kind, CASE WHEN a AND b THEN CASE WHEN kind = 'reexports' THEN 1.2 ELSE 0.35 END ELSE 0.15 END + 0.9 * n * 0.1 + CASE WHEN kind = 'calls' THEN 0.7 ELSE 0 END + CASE WHEN kind = 'tests' THEN 0.2 ELSE 0 END AS score
+ SELECT src, dst, kind, round(CASE WHEN a AND b THEN CASE WHEN kind = 'reexports' THEN 1.2 ELSE 0.35 END ELSE 0.15 END + 0.9 * n * 0.1 + CASE WHEN kind = 'calls' THEN 0.7 ELSE 0 END + CASE WHEN kind = 'tests' THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score
  FROM {Q3} WHERE (a OR b) AND CASE WHEN kind = 'calls' THEN true ELSE a AND b END)) WHERE kind <> 'calls' OR k <= 4) WHERE rn <= 20""")
 def q3_edge_selection(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.lit(True).alias("a"))
