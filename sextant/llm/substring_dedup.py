@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, bit_filter, held_by, mixed, pieces, seen_twice, staged
+from .common import as_bytes, bit_filter, dropped, held_by, mixed, pieces, seen_twice, staged
 
 LEAST, GRAM, STEP, MOST_BITS, CHUNK, PIECE = 200, 40, 16, 1 << 28, 1 << 18, 1 << 20
 
@@ -131,9 +131,16 @@ def _keys(ids: np.ndarray, texts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(mixed(x) + at.astype(np.int64).astype(np.uint64)).view(np.int64)
 
 
-def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None) -> DataFrame:
+def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None, held: list[DataFrame] | None = None) -> DataFrame:
     """(id, x, spans): by row of docs (x: hash of the text) with repeats, an array of (s, n): n windows of `least` bytes from byte s that start
-    elsewhere too; with keep_first, that start earlier (by id, then hash of the text, then place). They may overlap."""
+    elsewhere too; with keep_first, that start earlier (by id, then hash of the text, then place). They may overlap. `held` gets the tables
+    that may go once the result is staged."""
+    own = [] if held is None else held
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        own.append(staged(df, f"substring-{name}"))
+        return own[-1]
+
     spark = docs.sparkSession
     gram = gram or max(1, min(GRAM, least // 2))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("x"), F.col(text_col).alias("text"))
@@ -162,9 +169,9 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
 
     def repeated(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Of staged rows (g, c, id, x, s, n): those whose class c has others, and the first of each class of groups g with several."""
-        classes = staged(found.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")), f"substring-{name}-classes")
+        classes = kept(found.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")), f"{name}-classes")
         several = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g")
-        probes = staged(classes.join(several, "g").select("first.id", "first.x", "first.s"), f"substring-{name}-probes")
+        probes = kept(classes.join(several, "g").select("first.id", "first.x", "first.s"), f"{name}-probes")
         copies = found.join(classes.where("k > 1").select("g", "c", "first"), ["g", "c"]).where(whole)
         return copies.select("id", "x", "s", "n"), probes
 
@@ -199,7 +206,7 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
         return pa.RecordBatch.from_arrays([pa.array(cut["g"][good]), pa.array(cut["c"][good]), x.column(0).take(own), x.column(1).take(own), pa.array(at), pa.array(cut["n"][good].astype(np.int32))], names=["g", "c", "id", "x", "s", "n"])
 
     schema = "g long, c long, id long, x int, s long, n int"
-    found = staged(narrow.mapInArrow(blocks, schema), "substring-blocks")
+    found = kept(narrow.mapInArrow(blocks, schema), "blocks")
     twice.unpersist()
     copies, probes = repeated(found, "block")
     first = asking(probes)
@@ -210,7 +217,7 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
             yield batch_of(x, rows, starts, cut, slice(None))
 
     step = max(1, min(STEP, least // 8))
-    more, probes = repeated(staged(narrow.mapInArrow(parts, schema), "substring-parts"), "part")
+    more, probes = repeated(kept(narrow.mapInArrow(parts, schema), "parts"), "part")
     second = asking(probes)
 
     def spelled(twice=None):
@@ -235,7 +242,7 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
 
     bits = min(MOST_BITS, max(1 << 16, 1 << int(16 * probes.count() * step // 2).bit_length()))
     again = spark.sparkContext.broadcast(seen_twice(narrow, spelled(), bits))
-    windows = staged(narrow.mapInArrow(spelled(again), schema).select("c", "id", "x", "s"), "substring-windows")
+    windows = kept(narrow.mapInArrow(spelled(again), schema).select("c", "id", "x", "s"), "windows")
     runs = windows.groupBy("c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")).where("k > 1")
     hits = windows.join(runs, "c").where(whole)
     every = copies.union(more).union(hits.select("id", "x", "s", F.lit(1).alias("n")))
@@ -265,29 +272,60 @@ FOUND = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int6
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None, with_text: bool = True) -> DataFrame:
-    """docs with `kept` (the remaining bytes; cuts may fall inside a character), n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256."""
+    """docs with `kept` (the remaining bytes; cuts may fall inside a character), n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
+    Only texts that a filter of the rows with repeats holds are shuffled to meet their spans; the others are finished where they are read."""
     df = docs.drop("kept", *(n for n, _ in FOUND))
     own = df.columns
-    found = staged(spans(df, least, keep_first, id_col, text_col, gram), "substring-spans").toDF("_id", "_x", "_spans")
-    wide = df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_hash(text_col) == F.col("_x")), "left").select(*own, "_spans")
+    held: list[DataFrame] = []
+    found = staged(spans(df, least, keep_first, id_col, text_col, gram, held), "substring-spans")
+    for table in held:
+        dropped(table)
+    bits = min(MOST_BITS, max(1 << 14, 1 << (16 * found.count()).bit_length()))
+    marked = df.sparkSession.sparkContext.broadcast(bit_filter(found.select("id", "x"), bits, _row_keys))
     at, extra = own.index(text_col), [("kept", pa.binary())] * with_text + FOUND
 
-    def run(batches):
-        for x in pieces(batches, at):
-            columns = [[] for _ in FOUND]
-            texts = []
-            for t, marks in zip(as_bytes(x.column(at)), x.column(len(own)).to_pylist(), strict=True):
-                cuts = covered([(m["s"], m["n"]) for m in marks or ()], least)
-                edges = [0, *(p for c in cuts for p in c), len(t)]
-                kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                texts.append(kept)
-                for c, v in zip(columns, (len(t), len(t) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()), strict=True):
-                    c.append(v)
-            arrays = [pa.array(texts, pa.binary())] * with_text + [pa.array(c, f) for c, (_, f) in zip(columns, FOUND, strict=True)]
-            yield pa.RecordBatch.from_arrays([*list(x.columns)[: len(own)], *arrays], schema=pa.schema([*list(x.schema)[: len(own)], *(pa.field(*e) for e in extra)]))
+    def finished(x, marks):
+        columns = [[] for _ in FOUND]
+        texts = []
+        for t, m in zip(as_bytes(x.column(at)), marks, strict=True):
+            cuts = covered([(y["s"], y["n"]) for y in m or ()], least)
+            edges = [0, *(p for c in cuts for p in c), len(t)]
+            kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            texts.append(kept)
+            for c, v in zip(columns, (len(t), len(t) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()), strict=True):
+                c.append(v)
+        arrays = [pa.array(texts, pa.binary())] * with_text + [pa.array(c, f) for c, (_, f) in zip(columns, FOUND, strict=True)]
+        return pa.RecordBatch.from_arrays([*list(x.columns)[: len(own)], *arrays], schema=pa.schema([*list(x.schema)[: len(own)], *(pa.field(*e) for e in extra)]))
+
+    def chosen(batches, want: bool):
+        flags = np.frombuffer(marked.value, np.uint8)
+        for x in pieces(batches, at, PIECE):
+            hit = held_by(flags, _keys(_ids(x.column(len(own))), x.column(len(own) + 1).to_numpy(), np.int64(-1)))
+            if (hit == want).any():
+                yield x.filter(pa.array(hit == want))
+
+    def plain(batches):
+        for x in chosen(batches, False):
+            yield finished(x, [None] * x.num_rows)
+
+    def repeated(batches):
+        yield from chosen(batches, True)
+
+    def cut(batches):
+        for x in pieces(batches, at, PIECE):
+            yield finished(x, x.column(len(own)).to_pylist())
 
     kinds = {"kept": T.BinaryType(), "kept_sha256": T.StringType()}
-    return wide.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n, _ in extra)]))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n, _ in extra)])
+    keyed = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_x", text_hash(text_col))
+    some = keyed.mapInArrow(repeated, keyed.schema)
+    wide = some.join(found.toDF("_i", "_h", "_spans"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h")), "left").select(*own, "_spans")
+    return keyed.mapInArrow(plain, schema).union(wide.mapInArrow(cut, schema))
+
+
+def _row_keys(batches):
+    for x in batches:
+        yield _keys(_ids(x.column(0)), x.column(1).to_numpy(), np.int64(-1))
 
 
 def digest(docs: DataFrame) -> DataFrame:
