@@ -91,6 +91,22 @@ def is_entry(p: str) -> str:
     return has(p, r"(^|/)(server|index|main|app|route)\.[cm]?[jt]sx?$")
 
 
+# What marks a helper file.
+HELPER = (
+    r"(^|/)(helpers?|utils?|lib|shared|config)(/|$)"
+    r"|(^|/)(extract|parse|format|normalize|resolve|load|read|write|config|credential|key|client|provider)[A-Za-z0-9_-]*\.[cm]?[jt]sx?$"
+    r"|(?:helper|util|config|credential|key|client|provider)[A-Za-z0-9_-]*\.[cm]?[jt]sx?$"
+)
+
+
+def hint_group(p: str, role_: str, rank: str, imported: str, touched: str) -> str:
+    """Where a hint lists a file (rank from 0): by its role if one is known, else by its path, an entry point's import and its rank."""
+    return (
+        f"case when {role_} = 'entrypoint' then 'entrypoints' when {role_} = 'implementation' then 'implementations' when {role_} in ('test', 'documentation', 'config', 'export') then 'helpers'"
+        f" when {is_entry(p)} then 'entrypoints' when {has(p, HELPER)} and {rank} > 0 then 'helpers' when {imported} or {rank} <= 2 then 'implementations' when {touched} then 'helpers' else 'implementations' end"
+    )
+
+
 def is_test(p: str) -> str:
     return has(p, r"(^|/)__tests__/|[._-](test|spec)\.[cm]?[jt]sx?$|_test\.go$")
 

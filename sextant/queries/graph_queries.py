@@ -329,3 +329,42 @@ def z13_graph_gate(spark, sf_dir):
     return sources(spark).where(f"{paths.language('path')} is not null").select("path")
 
 
+
+
+HINTED = [("src/server.ts", "", 4), ("src/lib/run.js", "", 3), ("src/lib/run.js", "implementation", 3), ("lib/parse.ts", "", 0), ("src/types.ts", "", 5), ("src/x.ts", "", 9), ("a.md", "documentation", 0), ("src/util/index.ts", "", 1), ("cmd/main.go", "", 6), ("src/m.ts", "entrypoint", 1)]
+TOUCH = [("src/server.ts", "src/types.ts", "imports"), ("src/server.ts", "src/lib/run.js", "imports"), ("z.ts", "src/x.ts", "calls")]
+
+
+@query(f"""SELECT path, role, CASE WHEN role = 'entrypoint' THEN 'entrypoints' WHEN role = 'implementation' THEN 'implementations' WHEN role <> '' THEN 'helpers' WHEN regexp_matches(path, '(^|/)(server|index|main|app|route)\\.[cm]?[jt]sx?$') THEN 'entrypoints'
+ WHEN rank > 0 AND regexp_matches(path, '(^|/)(helpers?|utils?|lib|shared|config)(/|$)|(^|/)(extract|parse|format|normalize|resolve|load|read|write|config|credential|key|client|provider)[\\w-]*\\.[cm]?[jt]sx?$|(helper|util|config|credential|key|client|provider)[\\w-]*\\.[cm]?[jt]sx?$') THEN 'helpers'
+ WHEN rank <= 2 OR path IN (SELECT dst FROM {values(TOUCH, 'src string, dst string, kind string', 'e')} WHERE kind = 'imports' AND regexp_matches(src, '(^|/)(server|index|main|app|route)\\.[cm]?[jt]sx?$')) THEN 'implementations'
+ WHEN path IN (SELECT dst FROM {values(TOUCH, 'src string, dst string, kind string', 'e')} UNION SELECT src FROM {values(TOUCH, 'src string, dst string, kind string', 'e')}) THEN 'helpers' ELSE 'implementations' END AS listed FROM {values(HINTED, 'path string, role string, rank int')}""")
+def x51_hint_groups(spark, sf_dir):
+    e = made(spark, TOUCH, "src string, dst string, kind string")
+    imported = e.where("kind = 'imports'").where(paths.is_entry("src")).select(F.col("dst").alias("path"), F.lit(True).alias("imported")).distinct()
+    touched = e.select(F.explode(F.array("src", "dst")).alias("path")).distinct().withColumn("touched", F.lit(True))
+    h = made(spark, HINTED, "path string, role string, rank int").join(imported, "path", "left").join(touched, "path", "left").na.fill(False, ["imported", "touched"])
+    return h.select("path", "role", E(paths.hint_group("path", "role", "rank", "imported", "touched")).alias("listed"))
+
+
+GRAMS = "(SELECT w, unnest(list_distinct(list_transform(range(1, length(w) + 1), lambda i: substr('^' || w || '$', i, 3)))) AS g FROM (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part))"
+
+
+@query(f"SELECT a.w AS q, b.w AS v, count(*) AS shared FROM {GRAMS} a JOIN {GRAMS} b ON a.g = b.g AND a.w < b.w GROUP BY a.w, b.w")
+def u4_shared_trigrams(spark, sf_dir):
+    """Sizes of intersections of trigram sets, by a join on the trigram."""
+    g = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().select("w", F.explode(E(text.trigrams("w"))).alias("g"))
+    return g.select(F.col("w").alias("q"), "g").join(g.select(F.col("w").alias("v"), "g"), "g").where("q < v").groupBy("q", "v").agg(F.count("*").alias("shared"))
+
+
+@query()
+def z6_term_ranges(spark, sf_dir):
+    """Lines scored by terms, their neighbourhoods, greedy windows: the parts have oracles of their own."""
+    from ..operators import ranges
+
+    terms = ranges.range_terms(made(spark, [(1, "run", 1.0), (1, "command", 0.8), (2, "router", 1.2)], "qid int, term string, weight double"))
+    ls = sources(spark).select("path", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("path", (F.col("at") + 1).alias("ln"), "line")
+    scored = ranges.line_scores(ls, terms)
+    n = ls.groupBy("path").agg(F.max("ln").alias("n_lines"))
+    near = ranges.near_scores(scored, ["qid", "path"]).withColumn("near", F.round("near", 6)).join(n, "path")
+    return ranges.greedy_windows(near, ["qid", "path"])
