@@ -263,9 +263,28 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component: that of its least id. Rows without words stay, and those with null ids if nothing else of their component does."""
+    """docs with one row of each component: that of its least id. Rows without words stay, and those with null ids if nothing else of their component
+    does. Only rows whose ids a filter of ids to drop (or of repeated ones) holds are shuffled; the rest pass where they are read."""
+    spark = docs.sparkSession
     found = similar_components(docs, n, num, den)
-    keep = staged(found.where("doc_id = component_id or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_id"), (F.col("n_shingles") > 0).alias("_some")), "ngram-kept")
-    once = keep.groupBy("_id").agg(F.max("_some").alias("_some"))
-    out = docs.join(once, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    stays = F.expr("doc_id = component_id or (doc_id is null and component_id is null)")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.coalesce(stays, F.lit(False))).alias("_stays"), F.count_if(F.col("n_shingles") > 0).alias("_k"))
+    special = staged(ids.where("not _stays or _k > 1 or _id is null"), "ngram-special")
+    bits = min(MOST_BITS, max(1 << 12, 1 << (int(special.count()) * 16).bit_length()))
+    kept = spark.sparkContext.broadcast(bit_filter(special.select(F.coalesce("_id", F.lit(0))), bits))
+    at = docs.columns.index("doc_id")
+
+    def rows(want: bool):
+        def run(batches):
+            flags = np.frombuffer(kept.value, np.uint8)
+            for x in batches:
+                own = x.column(at).to_pylist()
+                hit = held_by(flags, np.array([i or 0 for i in own], np.int64)) | np.array([i is None for i in own], bool)
+                if (hit == want).any():
+                    yield x.filter(pa.array(hit == want))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    looked = rows(True).join(special, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("coalesce(_stays, true)")
+    once = looked.where("_k > 1").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return rows(False).union(looked.where("coalesce(_k, 0) <= 1").select(*docs.columns)).union(once)
