@@ -6,7 +6,8 @@ entries of the matrix times its transpose, and only entries that can reach the s
 1. A pair with similarity t shares at least t times the larger size. With columns ordered from rare to common, it
    must then share one of the first n - ceil(t n) + 1 columns of each row, so only those columns are multiplied, and of them
    only such as a filter of hashes seen twice holds. The order
-   comes from a sketch of column counts over all documents; any order is right, a rare-first one is fast.
+   is by commonness (the power of two by which a sketch of column counts over all documents exceeds its mean), then long n-grams first, as
+   they are rarer than the sketch can tell; any order is right, a rare-first one is fast.
 2. Where the first shared column stands in both rows bounds the overlap from above; pairs below the bound are discarded. So are those
    whose parities (512 bits a row) differ in more places than the sizes allow the sets to differ.
 3. For the rest, overlap counts are accumulated over blocks of columns and given up once they cannot reach the bound.
@@ -46,18 +47,22 @@ PARITY_BITS = 9
 BITS = [f"b{i}" for i in range(PARITY)]
 
 
-def ngrams(text: bytes, n: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's word n-grams."""
+def ngrams(text: bytes, n: int, lengths: bool = False):
+    """The sorted distinct hashes of a text's word n-grams, with the numbers of bytes of their words if asked for."""
     words = text.lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if lengths else np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(n, len(h))
     m = len(h) - width + 1
     x = h[:m] + np.uint64(width)
     for j in range(1, width):
         x = mixed(x) + h[j : j + m]
-    return np.unique(mixed(x))
+    if not lengths:
+        return np.unique(mixed(x))
+    grams, at = np.unique(mixed(x), return_index=True)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return grams, (ends[width - 1 :] - np.concatenate([[0], ends[: m - 1]]))[at]
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -111,18 +116,19 @@ def _sketch(measured: DataFrame) -> np.ndarray:
 def _first_columns(batches, n: int, num: int, den: int, counts: np.ndarray):
     """By piece of documents: (first columns of each distinct set, rare ones first; its key; its size). A task skips sets that it has met."""
     seen: set[int] = set()
+    commonness = np.log2(np.maximum(counts / (2 * max(1.0, counts.mean())), 1)).astype(np.int64)
     for x in pieces(batches, 1):
         found = []
         for t in as_bytes(x.column(1)):
-            g = ngrams(t, n)
+            g, size = ngrams(t, n, True)
             if not len(g) or (key := set_key(g)) in seen:
                 continue
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.add(key)
             p = len(g) - -(-num * len(g) // den) + 1
-            c = counts[(g & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
-            found.append((g[np.lexsort((g, c))[:p]].view(np.int64), key, len(g)))
+            c = commonness[(g & np.uint64(SLOTS - 1)).astype(np.int64)]
+            found.append((g[np.lexsort((g, -size, c))[:p]].view(np.int64), key, len(g)))
         if found:
             yield found
 
