@@ -193,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(in_training() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("_y").cast("int").alias("y"))
-    if "_y" not in known.columns or not (ids := known.agg(F.count("*").alias("n"), F.avg("_y").alias("m")).head()).n:
+    ids = known.agg(F.count("*").alias("n"), F.avg("_y").alias("m")).head()
+    if not ids.n:
         return Model({}, None, None, 0.0)
     if not 0 < ids.m < 1:
         return Model({}, None, None, float(ids.m))
