@@ -4,8 +4,7 @@ Rows of the incidence matrix are distinct sets (copies are one row), columns are
 entries of the matrix times its transpose, and only entries that can reach the size-derived bound are computed:
 
 1. A pair with similarity t shares at least t times the larger size. With columns ordered from rare to common, it
-   must then share one of the first n - ceil(t n) + 1 columns of each row, so only those columns are multiplied, and of them
-   only such as a filter of hashes seen twice holds. The order
+   must then share one of the first n - ceil(t n) + 1 columns of each row, so only those columns are multiplied. The order
    comes from a sketch of column counts over all documents; any order is right, a rare-first one is fast.
 2. Where the first shared column stands in both rows bounds the overlap from above; pairs below the bound are discarded. So are those
    whose parities (512 bits a row) differ in more places than the sizes allow the sets to differ.
@@ -34,10 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, components, held_by, mixed, pieces, seen_twice, staged
+from .common import as_bytes, bit_filter, components, held_by, mixed, pieces, staged
 
-#: Slots of the sketch of column counts (4 bytes each, broadcast), its pieces, and the most bits of the filters of documents and of columns.
-SLOTS, CHUNKS, MOST_BITS, FILTER_BITS = 1 << 21, 64, 1 << 27, 1 << 28
+#: Slots of the sketch of column counts (4 bytes each, broadcast), its pieces, and the most bits of a document filter.
+SLOTS, CHUNKS, MOST_BITS = 1 << 21, 64, 1 << 27
 BLOCKS = 4
 PARITY = 8
 PARITY_BITS = 9
@@ -108,45 +107,28 @@ def _sketch(measured: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _first_columns(batches, n: int, num: int, den: int, counts: np.ndarray):
-    """By piece of documents: (first columns of each distinct set, rare ones first; its key; its size). A task skips sets that it has met."""
-    seen: set[int] = set()
-    for x in pieces(batches, 1):
-        found = []
-        for t in as_bytes(x.column(1)):
-            g = ngrams(t, n)
-            if not len(g) or (key := set_key(g)) in seen:
-                continue
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.add(key)
-            p = len(g) - -(-num * len(g) // den) + 1
-            c = counts[(g & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
-            found.append((g[np.lexsort((g, c))[:p]].view(np.int64), key, len(g)))
-        if found:
-            yield found
-
-
-def _prefixes(docs: DataFrame, measured: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:
-    """(gram, key, n, pos): the first columns of each distinct set that any other document may have among its own. Columns that a
-    filter of hashes seen twice lacks are in one set only and stay behind."""
-
-    def grams(batches):
-        for found in _first_columns(batches, n, num, den, sketch.value):
-            yield np.concatenate([g for g, _, _ in found])
-
-    rows = measured.where("n > 0").agg(F.sum(F.expr(f"n - ceil({num}L * n / {den}D) + 1"))).head()[0] or 0
-    twice = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, grams, min(FILTER_BITS, max(1 << 14, 1 << (16 * int(rows)).bit_length()))))
+def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:
+    """(gram, key, n, pos): the first columns of each distinct set, rare ones first."""
 
     def run(batches):
-        flags = np.frombuffer(twice.value, np.uint8)
-        for found in _first_columns(batches, n, num, den, sketch.value):
-            sizes = [len(g) for g, _, _ in found]
-            gram = np.concatenate([g for g, _, _ in found])
-            good = held_by(flags, gram)
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-            key, size = (np.repeat(np.array(v, t), sizes) for v, t in (([k for _, k, _ in found], np.int64), ([m for _, _, m in found], np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(v[good]) for v in (gram, key, size, pos)], names=["gram", "key", "n", "pos"])
+        counts, seen = sketch.value, set()
+        for x in pieces(batches, 1):
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for t in as_bytes(x.column(1)):
+                g = ngrams(t, n)
+                if not len(g) or (key := set_key(g)) in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(key)
+                p = len(g) - -(-num * len(g) // den) + 1
+                c = counts[(g & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
+                order = np.lexsort((g, c))[:p]
+                for column, v in zip(columns, (g[order].view(np.int64), np.full(p, key), np.full(p, len(g)), np.arange(p)), strict=True):
+                    column.append(v)
+            if columns[0]:
+                a, b, c, d = map(np.concatenate, columns)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.int32)), pa.array(d.astype(np.int32))], names=["gram", "key", "n", "pos"])
 
     return docs.mapInArrow(run, "gram long, key long, n int, pos int")
 
@@ -231,7 +213,7 @@ def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     bits = measured.where("key is not null").groupBy("key").agg(*[F.first(b).alias(b) for b in BITS])
     sketch = spark.sparkContext.broadcast(_sketch(measured))
 
-    rows = staged(_prefixes(narrow, sets, n, num, den, sketch).distinct(), "ngram-prefixes")
+    rows = staged(_prefixes(narrow, n, num, den, sketch).distinct(), "ngram-prefixes")
     shared = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min(F.struct("pos", "n", "key")).alias("hub")).where("k > 1").select("gram", "hub")
     rows = staged(rows.join(shared, "gram"), "ngram-columns")
 
