@@ -2,8 +2,8 @@
 
 A piece's length is all that packing looks at, and there are at most `size` lengths: so what is packed is the table of
 lengths and their counts, whatever the corpus. Best fit in decreasing order runs on that table, whole runs of like
-bins at a time; then local search exchanges one item for one, two for one, or moves an item between underfull bins
-as long as the sum of squared fills grows and bins run empty. The result is a list of bin patterns with how often each
+bins at a time; then local search exchanges one item for one, two for one, or moves an item between underfull bins,
+all bins of two patterns at once, until no exchange helps. It covers every underfull bin. The result is a list of bin patterns with how often each
 occurs. Each piece finds its place by its rank among the pieces of its length: a rank within its task, counted
 while tokenising, plus the number in the tasks before. No length's pieces ever meet in one task, so any number of
 copies of one document is fine.
@@ -31,8 +31,6 @@ from .common import pieces as cut_batches
 from .common import staged
 
 SIZE, END_ID, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
-#: Underfull bins that local search looks at, and exchanges it tries; the bins beyond stay as best fit left them.
-SEARCH_BINS, SEARCH_STEPS = 3000, 4_000_000
 
 
 @lru_cache(maxsize=2)
@@ -140,74 +138,108 @@ def best_fit(counts: dict[int, int], size: int) -> Counter:
     return done
 
 
-def local_search(bins: Counter, size: int, most_bins: int = SEARCH_BINS, steps: int = SEARCH_STEPS) -> Counter:
-    """Empties the least filled bins into the room of others. Each step makes a fuller bin fuller at a less filled one's cost,
-    so the sum of squared fills grows with every step and the search ends."""
-    out = Counter(bins)
-    work: list[list[int]] = []
-    for pattern in sorted((p for p in bins if sum(p) < size), key=lambda p: (sum(p), p)):
-        n = min(bins[pattern], most_bins - len(work))
-        work += [list(pattern) for _ in range(n)]
-        out[pattern] -= n
-    rooms = [size - sum(b) for b in work]
-    spare = sum(rooms) // size  # so many bins may go, no more
-    donors = 0
-    while spare > 0 and donors < len(work) and steps > 0:
-        live = [i for i, b in enumerate(work) if b]
-        if len(live) < 2:
-            break
-        a = max(live, key=lambda i: (rooms[i], -i))
-        moved = True
-        while moved and work[a] and steps > 0:
-            moved = False
-            room = sorted((rooms[i], i) for i in live if i != a and rooms[i] and work[i])
-            for x in sorted(work[a], reverse=True):  # move: into the tightest room
-                at = bisect_left(room, (x, -1))
-                steps -= 1
-                if at < len(room):
-                    i = room[at][1]
-                    work[a].remove(x)
-                    work[i].append(x)
-                    rooms[a], rooms[i] = rooms[a] + x, rooms[i] - x
-                    moved = True
-                    break
-            if moved:
-                continue
-            own = Counter(work[a])
-            singles = sorted(own)
-            pairs = sorted({x + y: (x, y) for x in own for y in own if x < y or x == y and own[x] > 1}.items())
-            best: tuple = (0,)
-            for r, i in reversed(room):
-                if best[0] >= r:
+def local_search(bins: Counter, size: int) -> Counter:
+    """Empties the less filled bins into the room of others, all bins of two patterns at once, until as few bins are left as the
+    lengths need or no exchange helps. Each step makes fuller bins fuller at less filled ones' cost, so the sum of squared fills
+    grows with every step and the search ends."""
+    out: Counter = Counter()
+    by: dict[tuple[int, int], dict[tuple[int, ...], None]] = {}  # (room, length) -> the underfull patterns that have both
+    by_room: dict[int, dict[tuple[int, ...], None]] = {}
+    rooms_of = [0] * (size + 1)  # by length, the rooms of the patterns that have it, as bits
+    rooms = 0
+    seen = 0  # grows with every pair of room and length that wasn't there
+    stuck: dict[tuple[int, ...], int] = {}  # pattern -> seen when nothing helped it
+
+    def add(p: tuple[int, ...], n: int) -> None:
+        nonlocal rooms, seen
+        if not p or not n:
+            return
+        if out[p]:
+            stuck.pop(p, None)  # there may be a pair of it now
+        elif room := size - sum(p):
+            by_room.setdefault(room, {})[p] = None
+            rooms |= 1 << room
+            for y in set(p):
+                if not by.setdefault((room, y), {}):
+                    seen += 1
+                    rooms_of[y] |= 1 << room
+                by[room, y][p] = None
+        out[p] += n
+
+    def take(p: tuple[int, ...], n: int) -> None:
+        out[p] -= n
+        if not out[p]:
+            del out[p]
+            hide(p)
+
+    def hide(p: tuple[int, ...]) -> None:
+        nonlocal rooms
+        room = size - sum(p)
+        del by_room[room][p]
+        if not by_room[room]:
+            rooms ^= 1 << room
+        for y in set(p):
+            del by[room, y][p]
+            if not by[room, y]:
+                rooms_of[y] ^= 1 << room
+
+    def partner(a: tuple[int, ...], room: int) -> tuple | None:
+        """What helps a most: the other pattern, what a gives and what it gets. The other is at least as full."""
+        below = (1 << room + 1) - 1
+        own = Counter(a)
+        for x in sorted(own, reverse=True):  # move: into the tightest room
+            if fits := (rooms & below) >> x:
+                return next(iter(by_room[x + (fits & -fits).bit_length() - 1])), (x,), ()
+        given = {x + y: (x, y) for x in own for y in own if x < y or x == y and own[x] > 1} | {x: (x,) for x in own}  # two or one for one
+        sums = np.array(sorted(given))
+        most = np.fromiter(((r & below).bit_length() - 1 if r else -1 for r in rooms_of), np.int64, size + 1)  # by length, the most room
+        lengths = np.flatnonzero(most > 0)
+        at = np.searchsorted(sums, lengths + most[lengths], side="right") - 1
+        gain = np.where(at >= 0, sums[np.maximum(at, 0)] - lengths, 0)
+        if not len(gain) or gain.max() <= 0:
+            return None
+        k = int(gain.argmax())
+        y = int(lengths[k])
+        return next(iter(by[int(most[y]), y])), given[int(sums[at[k]])], (y,)
+
+    for p, n in sorted(bins.items(), key=lambda x: (sum(x[0]), x[0])):
+        add(p, n)
+    spare = sum((size - sum(p)) * n for p, n in out.items()) // size  # so many bins may go, no more
+    moved = True
+    while moved and spare > 0:
+        moved = False
+        for a in sorted((p for ps in by_room.values() for p in ps), key=lambda p: (sum(p), p)):
+            while spare > 0 and out[a] and stuck.get(a) != seen:
+                room = size - sum(a)
+                if alone := out[a] == 1:
+                    hide(a)
+                found = partner(a, room)
+                if alone:
+                    out[a] = 0
+                    before = seen
+                    add(a, 1)
+                    seen = before
+                if not found:
+                    stuck[a] = seen
                     break
-                for y in set(work[i]):
-                    steps -= 1
-                    at = bisect_left(singles, y + r + 1) - 1  # one for one
-                    if at >= 0 and singles[at] - y > best[0]:
-                        best = (singles[at] - y, i, y, (singles[at],))
-                    at = bisect_left(pairs, (y + r + 1,)) - 1  # two for one
-                    if at >= 0 and pairs[at][0] - y > best[0]:
-                        best = (pairs[at][0] - y, i, y, pairs[at][1])
-            if best[0] > 0 and size - rooms[best[1]] + best[0] > size - rooms[a] - best[0]:
-                gain, i, y, xs = best
-                for x in xs:
-                    work[a].remove(x)
-                work[i].remove(y)
-                work[i] += xs
-                work[a].append(y)
-                rooms[a], rooms[i] = rooms[a] + gain, rooms[i] - gain
+                b, xs, ys = found
+                n = out[a] // 2 if a == b else min(out[a], out[b])
+                left, right = Counter(a), Counter(b)
+                left.subtract(xs)
+                left.update(ys)
+                right.subtract(ys)
+                right.update(xs)
+                take(a, n)
+                take(b, n)
+                less = tuple(sorted(left.elements(), reverse=True))
+                add(less, n)
+                add(tuple(sorted(right.elements(), reverse=True)), n)
                 moved = True
-        if not work[a]:
-            spare -= 1
-            rooms[a] = 0
-        else:
-            donors += 1
-            out[tuple(sorted(work[a], reverse=True))] += 1
-            work[a], rooms[a] = [], 0
-    for b in work:
-        if b:
-            out[tuple(sorted(b, reverse=True))] += 1
-    return +out
+                if not less:
+                    spare -= n
+                if not out[a]:
+                    a = less
+    return out
 
 
 def plan(counts: dict[int, int], size: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -66,3 +66,30 @@ def test_search_helps():
         assert sum(after.values()) <= sum(first.values())
     assert packing.local_search(Counter({(600,): 2, (500,): 1}), 1024) == Counter({(600,): 2, (500,): 1})
     assert sum(packing.local_search(Counter({(500, 300): 1, (700, 100): 1, (224, 224): 1}), 1024).values()) == 2
+
+
+def test_search_covers_every_underfull_bin():
+    for n in (1, 100, 2000, 10**6):  # a length's bins all alike, however many: the share that goes is the same
+        counts = {522: 6 * n, 276: 6 * n, 266: 6 * n, 236: 12 * n}
+        first = packing.best_fit(counts, 1024)
+        after = packing.local_search(first, 1024)
+        assert sum(first.values()) == 11 * n
+        assert sum(after.values()) <= 10.6 * n
+        assert counts == sum((Counter({x: k * p.count(x) for x in set(p)}) for p, k in after.items()), Counter())
+        assert max(map(sum, after)) <= 1024
+
+
+def test_search_ends_where_no_exchange_helps():
+    r = random.Random(3)
+    for _ in range(30):
+        counts = dict(Counter(r.randint(20, 95) for _ in range(r.randint(20, 60))))
+        after = packing.local_search(packing.best_fit(counts, 100), 100)
+        if sum(after.values()) == -(-sum(k * n for k, n in counts.items()) // 100):
+            continue
+        for a in after:
+            for b in after:
+                if a == b and after[a] < 2 or sum(a) > sum(b):
+                    continue
+                gives = [*a, *(a[i] + a[j] for i in range(len(a)) for j in range(i))]
+                assert not [x for x in a if sum(b) + x <= 100]
+                assert not [(x, y) for x in gives for y in b if x > y and sum(b) + x - y <= 100]
