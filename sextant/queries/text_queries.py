@@ -415,6 +415,12 @@ def x36_chunk_text(spark, sf_dir):
 
 
 @query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), '(\\p{Han})', ' \\1 ', 'g'), '([[:punct:]])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> ''), '|') AS words FROM benchmark")
+@query(f"SELECT path, 'file: ' || trim(regexp_replace(path, '[^A-Za-z0-9]+', ' ', 'g')) || chr(10) || text AS chunk_text FROM {FILES}")
+def x36_whole_chunk_text(spark, sf_dir):
+    """x36_chunk_text cuts texts to 400 characters, as its SQL does; the reference doesn't."""
+    return files(spark, sf_dir).select("path", F.concat(F.lit("file: "), E(text.path_words("path")), F.lit("\n"), "text").alias("chunk_text"))
+
+
 def x37_bert_words(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", E(f"array_join({text.bert_words('text')}, '|')").alias("words"))
 
@@ -463,6 +469,18 @@ def x47_cursor(spark, sf_dir):
 ENDPOINTS = [("/codebase/src/a.ts#run",), ("external:react",), ("/codebase/b.go",), ("plain#x#y",)]
 
 
+SNIPPET_RANGES = [(1, 14), (2, 4), (15, 2147483647)]
+
+
+@query(f"""
+SELECT path, s, CAST(least(e, len(ls)) AS INTEGER) AS e, array_to_string(list_slice(ls, s, least(e, len(ls))), chr(10)) AS snippet
+FROM (SELECT path, regexp_split_to_array(text, '\\r?\\n') AS ls FROM {FILES}), {values(SNIPPET_RANGES, 's int, e int', 'r')} WHERE s <= len(ls)""")
+def x46_whole_ranges(spark, sf_dir):
+    """Every requested range that starts inside the file, whole; x46_snippets cuts lines 2-4 to 200 characters, as its SQL does."""
+    both = files(spark, sf_dir).select("path", F.split("text", "\r?\n").alias("ls")).join(F.broadcast(made(spark, SNIPPET_RANGES, "s int, e int")), E("s <= size(ls)"))
+    return both.select("path", "s", E("least(e, size(ls))").alias("e"), E("array_join(slice(ls, s, least(e, size(ls)) - s + 1), '\n')").alias("snippet"))
+
+
 @query(f"SELECT e, lower(replace(regexp_replace(regexp_replace(e, '^/codebase/', ''), '#.*$', ''), '\\', '/')) AS path, coalesce(regexp_extract(e, '#(.*)$', 1), '') AS symbol FROM {values(ENDPOINTS, 'e string')}")
 def x50_edge_endpoints(spark, sf_dir):
     from ..operators.graph import endpoint_path, endpoint_symbol
