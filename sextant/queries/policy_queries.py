@@ -237,12 +237,22 @@ def j14_line_bands(spark, sf_dir):
 
 @query()
 def l8_greedy_windows(spark, sf_dir):
+    """Every line, with a made score."""
     """Sequential by nature; tests hold it against a plain loop."""
     h = hits(spark, sf_dir)
-    near = ranges.near_scores(h, ["path"]).withColumn("near", F.round("near", 6)).join(h.select("path", "ln", "n_lines"), ["path", "ln"])
+    near = ranges.near_scores(h, ["path"]).withColumn("near", F.round("near", 9)).join(h.select("path", "ln", "n_lines"), ["path", "ln"])
     return ranges.greedy_windows(near, ["path"])
 
 
+    """Of the lines that its SQL takes; j14_all_line_bands has all."""
+    return ranges.near_scores(hits(spark, sf_dir).where("length(line) % 3 = 0"), ["path"]).select("path", "ln", F.round("near", 8).alias("near"))
+
+
+ALL_HITS = f"(SELECT path, ln, CAST(length(line) % 7 + 1 AS DOUBLE) / 4 AS score FROM {LINES})"
+
+
+@query(f"SELECT a.path, a.ln, round(a.score + sum(CASE WHEN b.ln = a.ln THEN 0 WHEN abs(a.ln - b.ln) <= 12 THEN b.score * (1 - abs(a.ln - b.ln) / 16.0::DOUBLE) * 0.7 ELSE b.score * 0.12 END), 8) AS near FROM {ALL_HITS} a JOIN {ALL_HITS} b ON a.path = b.path AND abs(a.ln - b.ln) <= 40 GROUP BY a.path, a.ln, a.score")
+def j14_all_line_bands(spark, sf_dir):
 RTERMS = [(1, "command", 0.5), (1, "parse", 0.9), (2, "local", 1.2), (2, "running", 0.3), (3, "none", 1.0)]
 ALIAS = [(t, a, w) for ts, as_, w in (("command commands cmd cmds", "command commands cmd cmds toolargs", 0.85), ("execute executed execution exec run runs running", "exec execute executor await", 0.9), ("parse parsed parsing", "parse args toolargs json", 0.75), ("local locally", "local", 0.6)) for t in ts.split() for a in as_.split()]
 

@@ -1,6 +1,7 @@
 """Queries that take part with all rows and whole texts, held against plain Python."""
 
 import os
+from collections import defaultdict
 
 import pytest
 
@@ -23,3 +24,27 @@ def test_ranges_are_whole(spark):
     got = {(r.path, r.s): (r.e, r.snippet) for r in QUERIES["x46_whole_ranges"](spark, SF).collect()}
     want = {(p, s): (min(e, len(t)), "\n".join(t[s - 1 : e])) for p, t in texts.items() for s, e in ((1, 14), (2, 4), (15, 10**9)) if s <= len(t)}
     assert got == want and max(len(x) for _, x in got.values()) > 1200
+
+
+def test_every_line_is_a_hit(spark):
+    texts = {r.path: r.text.replace("\r\n", "\n").split("\n") for r in files(spark, SF).collect()}
+    scores = {p: [(len(x) % 7 + 1) / 4 for x in t] for p, t in texts.items()}
+    near = {}
+    for p, s in scores.items():
+        for i, x in enumerate(s):
+            for j in range(max(0, i - 40), min(len(s), i + 41)):
+                d = abs(i - j)
+                x += 0 if not d else s[j] * (1 - d / 16) * 0.7 if d <= 12 else s[j] * 0.12
+            near[p, i + 1] = x
+    got = {(r.path, r.ln): r.near for r in QUERIES["j14_all_line_bands"](spark, SF).collect()}
+    assert got.keys() == near.keys() and all(abs(got[k] - near[k]) < 1e-6 for k in near)
+    taken = defaultdict(set)
+    for p, t in texts.items():
+        for ln in sorted(range(1, len(t) + 1), key=lambda ln: (-round(near[p, ln], 9), ln)):
+            s, e = max(1, ln - 20), min(len(t), ln + 40)
+            if len(taken[p]) < 6 and all(s > b or e < a for a, b in taken[p]):
+                taken[p].add((s, e))
+    windows = defaultdict(set)
+    for r in QUERIES["l8_greedy_windows"](spark, SF).collect():
+        windows[r.path].add((r.s, r.e))
+    assert windows == taken
