@@ -222,6 +222,17 @@ def j13_ranges_apart(spark, sf_dir):
     return ranges.apart(r.where("k <= 5"), r.select((F.col("k") - 5).alias("k"), "s", "e"), ["k"], 12)
 
 
+FLAGGED = "(SELECT l_suppkey AS k, CAST(l_orderkey AS BIGINT) AS s, CAST(l_orderkey + l_linenumber AS BIGINT) AS e, l_returnflag AS flag FROM lineitem)"
+
+
+@query(f"SELECT a.k, a.s, a.e FROM {FLAGGED} a WHERE a.flag = 'R' AND NOT EXISTS (SELECT 1 FROM {FLAGGED} b WHERE b.flag IS DISTINCT FROM 'R' AND b.k = a.k AND a.s <= b.e + 12 AND b.s <= a.e + 12)")
+def j13_flags_apart(spark, sf_dir):
+    """Over all of lineitem, rows of one l_returnflag against the others'; j13_ranges_apart compares ten suppliers, as its SQL does."""
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").cast("long").alias("s"), E("cast(l_orderkey + l_linenumber as bigint)").alias("e"), F.col("l_returnflag").alias("flag"))
+    own = E("flag <=> 'R'")
+    return ranges.apart(r.where(own).drop("flag"), r.where(~own).drop("flag"), ["k"], 12)
+
+
 HITS = f"(SELECT path, ln, CAST(length(line) % 7 + 1 AS DOUBLE) / 4 AS score, max(ln) OVER (PARTITION BY path) AS n_lines FROM {LINES} WHERE length(line) % 3 = 0)"
 
 

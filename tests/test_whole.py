@@ -6,9 +6,9 @@ from collections import defaultdict
 import pytest
 
 from sextant.queries import QUERIES
-from sextant.queries.base import files
+from sextant.queries.base import files, table
 
-SF = "/root/testdata/sf0.001"
+SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"  # on the smaller, no range is apart
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
 
 
@@ -48,3 +48,12 @@ def test_every_line_is_a_hit(spark):
     for r in QUERIES["l8_greedy_windows"](spark, SF).collect():
         windows[r.path].add((r.s, r.e))
     assert windows == taken
+
+
+def test_ranges_of_all_suppliers(spark):
+    own, others = defaultdict(list), defaultdict(list)
+    for r in table(spark, MORE, "lineitem").collect():
+        (own if r.l_returnflag == "R" else others)[r.l_suppkey].append((r.l_orderkey, r.l_orderkey + r.l_linenumber))
+    want = sorted((k, s, e) for k, v in own.items() for s, e in v if not any(s <= e2 + 12 and s2 <= e + 12 for s2, e2 in others[k]))
+    got = sorted(map(tuple, QUERIES["j13_flags_apart"](spark, MORE).collect()))
+    assert got == want and len({k for k, _, _ in got}) > 50
