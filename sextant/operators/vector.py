@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,12 @@ def search(vectors: DataFrame, queries: DataFrame, floor: float = 0.25, most: in
     return out.where(F.col("rank") <= most) if most else out
 
 
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], most: int = 4096) -> DataFrame:
+    """A search of any number of queries (qid, ...), of about `most` at a time, as each block is broadcast."""
+    n = -(-queries.count() // most) or 1
+    return reduce(DataFrame.unionByName, [search(queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)) for i in range(n)])
+
+
 def collapse(hits: DataFrame) -> DataFrame:
     """(qid, path, score, hits, ids): the best chunk's score, .04 more for each further hit up to three."""
     order = F.array_sort(F.collect_list(F.struct("rank", "id")))

@@ -237,33 +237,33 @@ HITS = f"(SELECT path, ln, CAST(length(line) % 7 + 1 AS DOUBLE) / 4 AS score, ma
 
 
 def hits(spark, sf_dir):
+    """Every line, with a made score."""
     n = F.max("ln").over(Window.partitionBy("path"))
-    return lines(spark, sf_dir).where("length(line) % 3 = 0").select("path", "ln", E("(length(line) % 7 + 1) / 4.0D").alias("score"), n.alias("n_lines"))
+    return lines(spark, sf_dir).select("path", "ln", "line", E("(length(line) % 7 + 1) / 4.0D").alias("score"), n.alias("n_lines"))
 
 
 @query(f"SELECT a.path, a.ln, round(a.score + sum(CASE WHEN b.ln = a.ln THEN 0 WHEN abs(a.ln - b.ln) <= 12 THEN b.score * (1 - abs(a.ln - b.ln) / 16.0::DOUBLE) * 0.7 ELSE b.score * 0.12 END), 8) AS near FROM {HITS} a JOIN {HITS} b ON a.path = b.path AND abs(a.ln - b.ln) <= 40 GROUP BY a.path, a.ln, a.score")
 def j14_line_bands(spark, sf_dir):
+    """Of the lines that its SQL takes; j14_all_line_bands has all."""
+    return ranges.near_scores(hits(spark, sf_dir).where("length(line) % 3 = 0"), ["path"]).select("path", "ln", F.round("near", 8).alias("near"))
+
+
+ALL_HITS = f"(SELECT path, ln, CAST(length(line) % 7 + 1 AS DOUBLE) / 4 AS score FROM {LINES})"
+
+
+@query(f"SELECT a.path, a.ln, round(a.score + sum(CASE WHEN b.ln = a.ln THEN 0 WHEN abs(a.ln - b.ln) <= 12 THEN b.score * (1 - abs(a.ln - b.ln) / 16.0::DOUBLE) * 0.7 ELSE b.score * 0.12 END), 8) AS near FROM {ALL_HITS} a JOIN {ALL_HITS} b ON a.path = b.path AND abs(a.ln - b.ln) <= 40 GROUP BY a.path, a.ln, a.score")
+def j14_all_line_bands(spark, sf_dir):
     return ranges.near_scores(hits(spark, sf_dir), ["path"]).select("path", "ln", F.round("near", 8).alias("near"))
 
 
 @query()
 def l8_greedy_windows(spark, sf_dir):
-    """Every line, with a made score."""
     """Sequential by nature; tests hold it against a plain loop."""
     h = hits(spark, sf_dir)
     near = ranges.near_scores(h, ["path"]).withColumn("near", F.round("near", 9)).join(h.select("path", "ln", "n_lines"), ["path", "ln"])
     return ranges.greedy_windows(near, ["path"])
 
 
-    """Of the lines that its SQL takes; j14_all_line_bands has all."""
-    return ranges.near_scores(hits(spark, sf_dir).where("length(line) % 3 = 0"), ["path"]).select("path", "ln", F.round("near", 8).alias("near"))
-
-
-ALL_HITS = f"(SELECT path, ln, CAST(length(line) % 7 + 1 AS DOUBLE) / 4 AS score FROM {LINES})"
-
-
-@query(f"SELECT a.path, a.ln, round(a.score + sum(CASE WHEN b.ln = a.ln THEN 0 WHEN abs(a.ln - b.ln) <= 12 THEN b.score * (1 - abs(a.ln - b.ln) / 16.0::DOUBLE) * 0.7 ELSE b.score * 0.12 END), 8) AS near FROM {ALL_HITS} a JOIN {ALL_HITS} b ON a.path = b.path AND abs(a.ln - b.ln) <= 40 GROUP BY a.path, a.ln, a.score")
-def j14_all_line_bands(spark, sf_dir):
 RTERMS = [(1, "command", 0.5), (1, "parse", 0.9), (2, "local", 1.2), (2, "running", 0.3), (3, "none", 1.0)]
 ALIAS = [(t, a, w) for ts, as_, w in (("command commands cmd cmds", "command commands cmd cmds toolargs", 0.85), ("execute executed execution exec run runs running", "exec execute executor await", 0.9), ("parse parsed parsing", "parse args toolargs json", 0.75), ("local locally", "local", 0.6)) for t in ts.split() for a in as_.split()]
 
@@ -425,6 +425,29 @@ def a12_vector_collapse(spark, sf_dir):
     return out.select("qid", "path", R6("score"), "hits", E("array_join(transform(ids, x -> string(x)), ',')").alias("ids"))
 
 
+VA = "(SELECT a.vec_id AS qid, b.vec_id AS id, 'group' || b.label AS path, round(list_inner_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
+VAR = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {VA} WHERE score >= 0.25 QUALIFY rank <= 32)"
+
+
+def batch_hits(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    stored = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("group"), "label").alias("path"), "embedding")
+    return vector.in_blocks(q, lambda block: vector.search(stored, block))
+
+
+@query(f"SELECT qid, id, path, score, CAST(rank AS INTEGER) AS rank FROM {VAR}")
+def l2_vector_topk_batch(spark, sf_dir):
+    """For every fiftieth vector; l2_vector_topk has the four of its SQL, as a12_vector_collapse."""
+    return batch_hits(spark, sf_dir)
+
+
+@query(f"SELECT qid, path, round(least(1, max(score) + 0.04 * least(3, count(*) - 1)), 6)::DOUBLE AS score, count(*) AS hits, array_to_string(list_slice(list(id ORDER BY rank), 1, 3), ',') AS ids FROM {VAR} GROUP BY qid, path")
+def a12_vector_collapse_batch(spark, sf_dir):
+    out = vector.collapse(batch_hits(spark, sf_dir))
+    return out.select("qid", "path", R6("score"), "hits", E("array_join(transform(ids, x -> string(x)), ',')").alias("ids"))
+
+
 @query()
 def x39_embed(spark, sf_dir):
     """Word pieces (X38), mean pooling and length one over a small made vocabulary; held against plain Python in tests."""

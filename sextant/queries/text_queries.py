@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, paths, routes, text
+from ..operators import vector
 from ..sources import tree
 from . import duck
 from .base import FILES, LINES, files, lines, made, query, table, values
@@ -414,13 +415,13 @@ def x36_chunk_text(spark, sf_dir):
     return files(spark, sf_dir).select("path", F.concat(F.lit("file: "), E(text.path_words("path")), F.lit("\n"), F.substring("text", 1, 400)).alias("chunk_text"))
 
 
-@query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), '(\\p{Han})', ' \\1 ', 'g'), '([[:punct:]])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> ''), '|') AS words FROM benchmark")
 @query(f"SELECT path, 'file: ' || trim(regexp_replace(path, '[^A-Za-z0-9]+', ' ', 'g')) || chr(10) || text AS chunk_text FROM {FILES}")
 def x36_whole_chunk_text(spark, sf_dir):
     """x36_chunk_text cuts texts to 400 characters, as its SQL does; the reference doesn't."""
     return files(spark, sf_dir).select("path", F.concat(F.lit("file: "), E(text.path_words("path")), F.lit("\n"), "text").alias("chunk_text"))
 
 
+@query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), '(\\p{Han})', ' \\1 ', 'g'), '([[:punct:]])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> ''), '|') AS words FROM benchmark")
 def x37_bert_words(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", E(f"array_join({text.bert_words('text')}, '|')").alias("words"))
 
@@ -442,6 +443,14 @@ def x40_dot_product(spark, sf_dir):
     return e.join(probe, F.lit(True)).select("vec_id", F.round(E(text.dot("embedding", "probe")), 6).alias("score"))
 
 
+@query("SELECT a.vec_id AS qid, b.vec_id AS vec_id, round(list_inner_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0")
+def x40_dot_products(spark, sf_dir):
+    """For every fiftieth vector; x40_dot_product has the one of its SQL."""
+    e = table(spark, sf_dir, "embeddings")
+    probes = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("probe"))
+    return vector.in_blocks(probes, lambda q: e.join(F.broadcast(q), F.lit(True)).select("qid", "vec_id", F.round(E(text.dot("embedding", "probe")), 6).alias("score")))
+
+
 ANSWERS = [(1, "<file path=\"/codebase/a/b.ts\"><range>1-20</range><range>30-31</range></file> noise <file path=\"c.go\"></file><file path=\"d.ts\">\n<range>7-9</range></file>"), (2, "nothing"), (3, "<file path=\"x\"><range>bad</range><range>5-2</range></file>")]
 
 
@@ -460,15 +469,6 @@ def x46_snippets(spark, sf_dir):
     return files(spark, sf_dir).select("path", E("substring(array_join(slice(split(text, '\\n'), 2, 3), '\\n'), 1, 200)").alias("snippet"))
 
 
-@query(f"SELECT qid, rtrim(translate(base64(encode('{{\"v\":1,\"id\":\"' || md5(q) || '\",\"offset\":' || qid * 10 || '}}')), '+/', '-_'), '=') AS cursor, CASE WHEN qid * 10 <= 100 THEN CAST(qid * 10 AS BIGINT) END AS decoded, CAST(NULL AS BIGINT) AS foreign_offset FROM {VQ}")
-def x47_cursor(spark, sf_dir):
-    c = of_queries(spark).select("qid", F.md5("q").alias("id"), E(text.cursor("md5(q)", "qid * 10")).alias("cursor"))
-    return c.select("qid", "cursor", E(text.cursor_offset("cursor", "id", "100")).alias("decoded"), E(text.cursor_offset("cursor", "'other'", "100")).alias("foreign_offset"))
-
-
-ENDPOINTS = [("/codebase/src/a.ts#run",), ("external:react",), ("/codebase/b.go",), ("plain#x#y",)]
-
-
 SNIPPET_RANGES = [(1, 14), (2, 4), (15, 2147483647)]
 
 
@@ -481,6 +481,15 @@ def x46_whole_ranges(spark, sf_dir):
     return both.select("path", "s", E("least(e, size(ls))").alias("e"), E("array_join(slice(ls, s, least(e, size(ls)) - s + 1), '\n')").alias("snippet"))
 
 
+@query(f"SELECT qid, rtrim(translate(base64(encode('{{\"v\":1,\"id\":\"' || md5(q) || '\",\"offset\":' || qid * 10 || '}}')), '+/', '-_'), '=') AS cursor, CASE WHEN qid * 10 <= 100 THEN CAST(qid * 10 AS BIGINT) END AS decoded, CAST(NULL AS BIGINT) AS foreign_offset FROM {VQ}")
+def x47_cursor(spark, sf_dir):
+    c = of_queries(spark).select("qid", F.md5("q").alias("id"), E(text.cursor("md5(q)", "qid * 10")).alias("cursor"))
+    return c.select("qid", "cursor", E(text.cursor_offset("cursor", "id", "100")).alias("decoded"), E(text.cursor_offset("cursor", "'other'", "100")).alias("foreign_offset"))
+
+
+ENDPOINTS = [("/codebase/src/a.ts#run",), ("external:react",), ("/codebase/b.go",), ("plain#x#y",)]
+
+
 @query(f"SELECT e, lower(replace(regexp_replace(regexp_replace(e, '^/codebase/', ''), '#.*$', ''), '\\', '/')) AS path, coalesce(regexp_extract(e, '#(.*)$', 1), '') AS symbol FROM {values(ENDPOINTS, 'e string')}")
 def x50_edge_endpoints(spark, sf_dir):
     from ..operators.graph import endpoint_path, endpoint_symbol

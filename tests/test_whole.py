@@ -1,10 +1,12 @@
 """Queries that take part with all rows and whole texts, held against plain Python."""
 
+import math
 import os
 from collections import defaultdict
 
 import pytest
 
+from sextant.operators import vector
 from sextant.queries import QUERIES
 from sextant.queries.base import files, table
 
@@ -57,3 +59,21 @@ def test_ranges_of_all_suppliers(spark):
     want = sorted((k, s, e) for k, v in own.items() for s, e in v if not any(s <= e2 + 12 and s2 <= e + 12 for s2, e2 in others[k]))
     got = sorted(map(tuple, QUERIES["j13_flags_apart"](spark, MORE).collect()))
     assert got == want and len({k for k, _, _ in got}) > 50
+
+
+def test_query_batch_grows(spark):
+    rows = {r.vec_id: r.embedding for r in table(spark, SF, "embeddings").collect()}
+    asked = {i for i in rows if i % 50 == 0}
+    got = {(r.qid, r.vec_id): r.score for r in QUERIES["x40_dot_products"](spark, SF).collect()}
+    assert got.keys() == {(a, b) for a in asked for b in rows} and len(asked) > 1
+    assert all(abs(v - math.sumprod(map(float, rows[a]), map(float, rows[b]))) < 2e-6 for (a, b), v in got.items())
+    hits = QUERIES["l2_vector_topk_batch"](spark, SF).collect()
+    assert {r.qid for r in hits} == asked
+    for q in asked:
+        best = sorted((-v, b) for (a, b), v in got.items() if a == q and v >= 0.25)[:32]
+        assert [(r.id, r.rank) for r in sorted(hits, key=lambda r: r.rank) if r.qid == q] == [(b, i) for i, (_, b) in enumerate(best, 1)]
+
+
+def test_blocks_hold_every_query_once(spark):
+    asked = spark.range(1000).withColumnRenamed("id", "qid")
+    assert sorted(r.qid for r in vector.in_blocks(asked, lambda q: q, most=90).collect()) == list(range(1000))
