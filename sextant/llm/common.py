@@ -10,14 +10,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), a folder of this machine."""
+    """The cluster's shared folder; where none is named and all runs on one machine (tests), a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage ends there, and a lost
     executor costs only the tasks that it ran."""
@@ -27,13 +41,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a staged table that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that no later plan reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,18 +120,26 @@ def bit_filter(df: DataFrame, bits: int, produce=None, chunks: int = 64) -> byte
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "bits"])
 
-    def merge(key, table):
-        out = np.zeros(size // 8, np.uint8)
-        for b in table.column("bits").to_pylist():
-            out |= np.frombuffer(zlib.decompress(b), np.uint8)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for x in batches:
+            for c, b in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                held.setdefault(c, np.zeros(size // 8, np.uint8))[:] |= np.frombuffer(zlib.decompress(b.as_buffer()), np.uint8)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
 
     found = bytearray(bits // 8)
-    for r in df.mapInArrow(note, "chunk int, bits binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
+    for r in merged_by(df.mapInArrow(note, "chunk int, bits binary"), merge, "chunk int, bits binary"):
         found[r.chunk * (size // 8) : (r.chunk + 1) * (size // 8)] = r.bits
     return bytes(found)
 
 
+def merged_by(noted: DataFrame, merge, schema: str):
+    """Rows of the merged pieces. Pieces are dealt out by chunk and merged one after another as they come, so a task holds one merged
+    piece of each of its chunks, however many tasks there were."""
+    return noted.repartition("chunk").mapInArrow(merge, schema).collect()
+
+
 def slots_of(values, bits: int):
     """Two different slots for each long."""
     import numpy as np
@@ -154,11 +176,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = near.union(labels).groupBy("v").agg(F.min("l").alias("m"))
         moved = staged(labels.join(least, "v").select("v", "l", "m"), "moved")
         if not moved.where("m < l").head(1):
+            dropped(arcs, moved)
             return labels.withColumnRenamed("l", "root")
         hooked = moved.select("v", F.col("m").alias("l")).union(moved.where("m < l").select(F.col("l").alias("v"), F.col("m").alias("l")))
         jumped = staged(hooked.groupBy("v").agg(F.min("l").alias("l")), "hooked")
         to = jumped.select(F.col("v").alias("w"), F.col("l").alias("next"))
-        labels = staged(jumped.join(to, F.col("l") == F.col("w"), "left").select("v", F.coalesce("next", "l").alias("l")), "labels")
+        before, labels = labels, staged(jumped.join(to, F.col("l") == F.col("w"), "left").select("v", F.coalesce("next", "l").alias("l")), "labels")
+        dropped(before, moved, jumped)
 
 
 def seen_twice(df: DataFrame, produce, bits: int, chunks: int = 128, flush: int = 500_000) -> bytes:
@@ -201,15 +225,18 @@ def seen_twice(df: DataFrame, produce, bits: int, chunks: int = 128, flush: int
         if n:
             yield flushed()
 
-    def merge(key, table):
-        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
-        for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
-            a = np.frombuffer(zlib.decompress(a), np.uint8)
-            twice |= np.frombuffer(zlib.decompress(b), np.uint8) | (once & a)
-            once |= a
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
+    def merge(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for x in batches:
+            for c, a, b in zip(x.column(0).to_pylist(), x.column(1), x.column(2), strict=True):
+                once, twice = held.setdefault(c, (np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)))
+                a = np.frombuffer(zlib.decompress(a.as_buffer()), np.uint8)
+                twice |= np.frombuffer(zlib.decompress(b.as_buffer()), np.uint8) | (once & a)
+                once |= a
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for _, x in held.values()], pa.binary())], names=["chunk", "twice"])
 
     out = bytearray(bits // 8)
-    for r in df.mapInArrow(note, "chunk int, once binary, twice binary").groupBy("chunk").applyInArrow(merge, "chunk int, twice binary").collect():
+    for r in merged_by(df.mapInArrow(note, "chunk int, once binary, twice binary"), merge, "chunk int, twice binary"):
         out[r.chunk * (size // 8) : (r.chunk + 1) * (size // 8)] = r.twice
     return bytes(out)

@@ -17,8 +17,9 @@ they change nothing: components come out exact. No step gathers a column's rows
 aggregates, and the joins are such as Spark splits by skew.
 
 Words are runs of non-space after lower-casing A-Z. A document with fewer words than n has its whole sequence as one n-gram; one
-without words has an empty set and links with nothing. Null texts count as empty. Rows that repeat a doc_id are rows of their own;
-null ids take part and get the least id of their component, or null. n-grams are compared by 64-bit hashes, sets by 64-bit
+without words has an empty set and links with nothing. Null texts count as empty; texts of any length are whole; an empty table gives no rows. Rows that
+repeat a doc_id are rows of their own; ties don't matter to components; extra columns aren't looked at. Null ids take part and get the least id
+of their component, or null. n-grams are compared by 64-bit hashes, sets by 64-bit
 hashes and their sizes.
 """
 
@@ -30,13 +31,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, bit_filter, components, held_by, mixed, pieces, staged
+from .common import as_bytes, bit_filter, components, dropped, fresh, held_by, merged_by, mixed, pieces, staged
 
 #: Slots of the sketch of column counts (4 bytes each, broadcast), its pieces, and the most bits of a document filter.
 SLOTS, CHUNKS, MOST_BITS = 1 << 21, 64, 1 << 27
+#: Rows of a column in one task, beyond twice the mean count of the sketch's slots.
+HOT = 4096
 BLOCKS = 4
 PARITY = 8
 PARITY_BITS = 9
@@ -95,42 +99,59 @@ def _measured(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sketch(measured: DataFrame) -> np.ndarray:
-    def merge(key, table):
-        total = np.zeros(SLOTS // CHUNKS, np.uint32)
-        for c in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(c), np.uint16)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for x in batches:
+            for c, counts in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                held.setdefault(c, np.zeros(SLOTS // CHUNKS, np.uint32))[:] += np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint16)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
 
     out = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint32)
-    for r in measured.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(merge, "chunk int, counts binary").collect():
+    for r in merged_by(measured.where("chunk is not null").select("chunk", "counts"), merge, "chunk int, counts binary"):
         out[r.chunk] = np.frombuffer(bytes(r.counts), np.uint32)
     return out.ravel()
 
 
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch) -> DataFrame:
-    """(gram, key, n, pos): the first columns of each distinct set, rare ones first."""
+    """(gram, part, hot, key, n, pos): the first columns of each set, rare ones first; a hot column's rows are in several parts. A
+    task gives a set once; several tasks may give the same one."""
 
     def run(batches):
-        counts, seen = sketch.value, set()
+        counts, seen = sketch.value.astype(np.int64), set()
+        allowed = 2 * int(counts.mean())
         for x in pieces(batches, 1):
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for t in as_bytes(x.column(1)):
                 g = ngrams(t, n)
                 if not len(g) or (key := set_key(g)) in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(key)
                 p = len(g) - -(-num * len(g) // den) + 1
-                c = counts[(g & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
+                c = counts[(g & np.uint64(SLOTS - 1)).astype(np.int64)]
                 order = np.lexsort((g, c))[:p]
-                for column, v in zip(columns, (g[order].view(np.int64), np.full(p, key), np.full(p, len(g)), np.arange(p)), strict=True):
+                parts = 1 + np.maximum(c[order] - allowed, 0) // HOT
+                for column, v in zip(columns, (g[order].view(np.int64), key % parts, parts > 1, np.full(p, key), np.full(p, len(g)), np.arange(p)), strict=True):
                     column.append(v)
             if columns[0]:
-                a, b, c, d = map(np.concatenate, columns)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.int32)), pa.array(d.astype(np.int32))], names=["gram", "key", "n", "pos"])
+                a, b, c, d, e, f = map(np.concatenate, columns)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int32)), pa.array(c), pa.array(d), pa.array(e.astype(np.int32)), pa.array(f.astype(np.int32))], names=["gram", "part", "hot", "key", "n", "pos"])
 
-    return docs.mapInArrow(run, "gram long, key long, n int, pos int")
+    return docs.mapInArrow(run, "gram long, part int, hot boolean, key long, n int, pos int")
+
+
+def _columns(prefixes: DataFrame) -> list[DataFrame]:
+    """Staged rows (gram, key, n, pos, hub) of the columns that several sets share; hub: the row (pos, n, key) with the fewest rarer columns."""
+    row = F.struct("pos", "n", "key")
+    ordered = Window.partitionBy("gram", "part").orderBy("pos", "n", "key")
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = prefixes.select("*", F.first(row).over(every).alias("hub"), F.last("key").over(every).alias("_last"), F.lag("key").over(ordered).alias("_before"))
+    dealt = staged(dealt.where("not (_before <=> key) and (hot or _last <> hub.key)").select("gram", "key", "n", "pos", "hot", "hub"), "ngram-columns")
+    hot = dealt.where("hot").drop("hot", "hub")
+    hubs = dealt.where("hot").groupBy("gram").agg(F.count("*").alias("k"), F.min("hub").alias("hub")).where("k > 1").drop("k")
+    return [dealt.where("not hot").drop("hot"), staged(hot.join(hubs, "gram"), "ngram-hot")]
 
 
 def _bounded(num: int, den: int, a: str, b: str):
@@ -201,11 +222,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, n: int, nu
             good = [similar(grams(i, v), grams(j, w), num, den) for i, j, v, w in zip(a, b, x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return staged(wide.mapInArrow(check, "a long, b long"), "ngram-links")
+    links = staged(wide.mapInArrow(check, "a long, b long"), "ngram-links")
+    dropped(holders, held)
+    return links
 
 
-def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id): a row a document, with the least id that links of at least num/den reach."""
+def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Staged (id, n, key) of all rows, and (key, root) of the sets that have links: root is the same for all sets of a component."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     measured = staged(_measured(narrow, n), "ngram-sets")
@@ -213,9 +236,9 @@ def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     bits = measured.where("key is not null").groupBy("key").agg(*[F.first(b).alias(b) for b in BITS])
     sketch = spark.sparkContext.broadcast(_sketch(measured))
 
-    rows = staged(_prefixes(narrow, n, num, den, sketch).distinct(), "ngram-prefixes")
-    shared = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min(F.struct("pos", "n", "key")).alias("hub")).where("k > 1").select("gram", "hub")
-    rows = staged(rows.join(shared, "gram"), "ngram-columns")
+    cold, hot = _columns(_prefixes(narrow, n, num, den, sketch))
+    sketch.unpersist()
+    rows = cold.union(hot)
 
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     pairs = rows.alias("r").where("key <> hub.key").where(_bounded(num, den, "r", "hub")).select(*ordered(F.col("key"), F.col("hub.key"))).distinct()
@@ -226,13 +249,22 @@ def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     placed = rows.join(found.toDF("key", "root"), "key", "left").select("gram", "key", "n", "pos", F.coalesce("root", "key").alias("comp"), F.col("hub.key").alias("hub"))
     mixed_columns = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("key") == F.col("hub"), F.col("comp"))).alias("main")).where("lo <> hi").select("gram", "main")
     placed = staged(placed.drop("hub").join(mixed_columns, "gram").join(bits, "key"), "ngram-mixed")
+    dropped(cold, hot, found)
     few, every = placed.where("comp <> main").alias("f"), placed.alias("e")
     more = few.join(every, F.expr("f.gram = e.gram and f.comp <> e.comp") & _bounded(num, den, "f", "e") & _differ_little(num, den, "f", "e"))
-    more = more.select(*ordered(F.col("f.key"), F.col("e.key"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = components(staged(links.union(_verified(staged(more, "ngram-pairs"), narrow, sets, n, num, den)), "ngram-links"))
+    more = staged(more.select(*ordered(F.col("f.key"), F.col("e.key"))).distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
+    dropped(placed, pairs)
+    others = _verified(more, narrow, sets, n, num, den)
+    found = components(links.union(others))
+    dropped(more, links, others)
+    return sets, found.toDF("key", "root")
 
+
+def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id): a row a document, with the least id that links of at least num/den reach."""
+    sets, found = _classes(docs, n, num, den, id_col, text_col)
     classes = sets.where("key is not null").groupBy("key").agg(F.min("id").alias("least"))
-    linked = staged(found.toDF("key", "root").join(classes, "key"), "ngram-linked")
+    linked = staged(found.join(classes, "key"), "ngram-linked")
     least = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "ngram-roots")
     linked = linked.join(least, "root").select("key", "component_id")
     classes = staged(classes.join(linked, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "ngram-classes")
@@ -244,29 +276,49 @@ def digest(docs: DataFrame) -> DataFrame:
     return similar_components(docs)
 
 
-def first_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component: that of its least id. Rows without words stay, and those with null ids if nothing else of their component
-    does. Only rows whose ids a filter of ids to drop (or of repeated ones) holds are shuffled; the rest pass where they are read."""
+def first_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of its least id, null last; of several rows with that id one of the least set key. Rows without
+    words stay. Only rows whose ids a filter of ids to drop (or of repeated or null ones) holds are shuffled; the rest pass where they are read."""
     spark = docs.sparkSession
-    found = similar_components(docs, n, num, den)
-    stays = F.expr("doc_id = component_id or (doc_id is null and component_id is null)")
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.coalesce(stays, F.lit(False))).alias("_stays"), F.count_if(F.col("n_shingles") > 0).alias("_k"))
-    special = staged(ids.where("not _stays or _k > 1 or _id is null"), "ngram-special")
+    sets, found = _classes(docs, n, num, den, id_col, text_col)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    placed = staged(sets.join(found, "key", "left").select("id", "key", F.coalesce("root", "key").alias("root")), "ngram-placed")
+    worded = placed.where("key is not null")
+    best = staged(worded.groupBy("root").agg(F.min(place).alias("best")).select("best.id", "best.key"), "ngram-best").withColumn("first", F.lit(True))
+    placed = placed.join(best, placed["id"].eqNullSafe(best["id"]) & (placed["key"] == best["key"]), "left").select(placed["id"], placed["key"], (F.col("first") | placed["key"].isNull()).alias("stays"))
+    ids = placed.groupBy("id").agg(F.count("*").alias("k"), F.bool_or(F.coalesce("stays", F.lit(False))).alias("stays"))
+    special = staged(ids.where("k > 1 or id is null or not stays"), "ngram-special")
     bits = min(MOST_BITS, max(1 << 12, 1 << (int(special.count()) * 16).bit_length()))
-    kept = spark.sparkContext.broadcast(bit_filter(special.select(F.coalesce("_id", F.lit(0))), bits))
-    at = docs.columns.index("doc_id")
-
-    def rows(want: bool):
-        def run(batches):
-            flags = np.frombuffer(kept.value, np.uint8)
-            for x in batches:
-                own = x.column(at).to_pylist()
-                hit = held_by(flags, np.array([i or 0 for i in own], np.int64)) | np.array([i is None for i in own], bool)
-                if (hit == want).any():
-                    yield x.filter(pa.array(hit == want))
-
-        return docs.mapInArrow(run, docs.schema)
-
-    looked = rows(True).join(special, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("coalesce(_stays, true)")
-    once = looked.where("_k > 1").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return rows(False).union(looked.where("coalesce(_k, 0) <= 1").select(*docs.columns)).union(once)
+    kept = spark.sparkContext.broadcast(bit_filter(special.select(F.coalesce("id", F.lit(0))), bits))
+    own_id, own_key, many = fresh(docs.columns, "id_", "key_", "many_")
+    at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    keyed_schema = T.StructType([*docs.schema.fields, T.StructField(own_id, T.LongType()), T.StructField(own_key, T.LongType())])
+
+    def hits(x):
+        flags = np.frombuffer(kept.value, np.uint8)
+        ids = x.column(at).cast(pa.int64())
+        return held_by(flags, ids.fill_null(0).to_numpy()) | np.asarray(ids.is_null()), ids
+
+    def others(batches):
+        for x in batches:
+            hit, _ = hits(x)
+            if not hit.all():
+                yield x.filter(pa.array(~hit))
+
+    def looked_at(batches):
+        for x in pieces(batches, text_at):
+            hit, ids = hits(x)
+            if hit.any():
+                x, ids = x.filter(pa.array(hit)), ids.filter(pa.array(hit))
+                sets = (ngrams(t, n) for t in as_bytes(x.column(text_at)))
+                keys = pa.array([set_key(g) if len(g) else None for g in sets], pa.int64())
+                fields = [pa.field(own_id, pa.int64()), pa.field(own_key, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*x.columns, ids, keys], schema=pa.schema([*x.schema, *fields]))
+
+    looked = docs.mapInArrow(looked_at, keyed_schema)
+    asked = special.select(F.col("id").alias("asked_id"), (F.col("k") > 1).alias("asked_many"), F.col("stays").alias("asked_stays"))
+    looked = looked.join(asked, F.col(own_id).eqNullSafe(F.col("asked_id")), "left").where(F.col("asked_stays").isNull() | F.col("asked_stays") | F.col(own_key).isNull())
+    looked = looked.select(*docs.columns, own_id, own_key, F.coalesce(F.col("asked_many"), F.lit(False)).alias(many))
+    once = looked.where(~F.col(many) | F.col(own_key).isNull()).select(*docs.columns)
+    several = looked.where(F.col(many) & F.col(own_key).isNotNull()).join(best.toDF("best_id", "best_key", "best_first"), F.col(own_id).eqNullSafe(F.col("best_id")) & (F.col(own_key) == F.col("best_key")), "left_semi")
+    return docs.mapInArrow(others, docs.schema).union(once).union(several.dropDuplicates([own_id, own_key]).select(*docs.columns))

@@ -68,3 +68,24 @@ def test_empty_and_one_each(spark):
     out = ngram_join.first_of_each(df)
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [2, 9, 10, 11]
+
+
+def test_hot_columns(spark, monkeypatch):
+    """With tiny parts every common column is dealt out in several; the result is the same."""
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    rows = made(3)
+    df = spark.createDataFrame([(*x, "c") for x in rows], SCHEMA).repartition(4)
+    assert sorted((tuple(r) for r in ngram_join.similar_components(df).collect()), key=str) == brute(rows, 3, 90, 100)
+
+
+def test_one_each_by_row(spark):
+    """Null and repeated ids are decided by row; names of the stage's own columns clash with nothing."""
+    a, b = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z aa bb cc dd ee"
+    rows = [(5, a, 0), (None, a, 1), (None, b, 2), (7, "one two three four five six seven eight nine", 3), (7, a + " ", 4), (8, b + " extra", 5), (8, b + " extra", 6), (9, None, 7), (9, "", 8), (9, b, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id_ long").toDF("doc_id", "text", "id_")
+    for c in ("_id", "_k", "_stays", "key_", "id", "key", "many_", "stays"):
+        df = df.withColumn(c, df["id_"])
+    out = ngram_join.first_of_each(df.repartition(2))
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(5, a), (8, b + " extra"), (7, rows[3][1]), (9, None), (9, "")], key=str)
