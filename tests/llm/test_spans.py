@@ -73,6 +73,22 @@ def test_added(spark):
     assert {r.doc_id: r.text for r in pii.redact(pii.find_pii(df)).collect()}[2] == "ssn [national]"
 
 
+def test_trigram_queries(spark):
+    """Queries are derived from the patterns; the rows of a rule's query are those in the intersection of its posting lists."""
+    got = {k: secrets_scan.derived(p) for k, (p, _) in secrets_scan.RULES.items()}
+    assert got["access"] == [["aki", "kia"]] and got["hex"] == [] and got["jwt"] == [[".ey", "eyj"]]
+    assert [len(x) for x in got["assign"]] == [5, 4, 6, 4, 4, 3] and len(got["github"]) == 5
+    assert secrets_scan.derived("(abc|d)e?") == [] and secrets_scan.derived("(abcd|xyz)+q*") == [["abc", "bcd"], ["xyz"]] and secrets_scan.derived("x{0,3}foo(?=bar)") == [["foo"]]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CASES)] + [(900, "ghp_ and GHO_", "x"), (901, "pass word", "x"), (902, "PASSWORD", "x")], SCHEMA)
+    index = secrets_scan.indexed(df)
+    lists: dict[str, set] = {}
+    for r in secrets_scan.postings(index).collect():
+        lists.setdefault(r.trigram, set()).add(r.doc_id)
+    for rule, query in secrets_scan.QUERIES.items():
+        want = set().union(*(set.intersection(*(lists.get(t, set()) for t in ts)) for ts in query)) if query else {r.doc_id for r in index.collect()}
+        assert {r.doc_id for r in index.where(secrets_scan.candidate(rule)).collect()} == want
+
+
 @pytest.mark.parametrize("module", [pii, secrets_scan])
 def test_empty(spark, module):
     assert module.digest(spark.createDataFrame([], SCHEMA)).collect() == []
