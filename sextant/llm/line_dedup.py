@@ -7,16 +7,17 @@ pass: only keys whose slots are all seen twice shuffle, as 128-bit fingerprints
 count and the choice of the document that keeps the line. Third: the lines go.
 
 The filter has BITS_A_ROW bits a document, MOST_BITS at most (32 MB, the size of what is broadcast): a fuller filter only lets
-more keys shuffle. The list of repeated keys is broadcast up to MOST_KEYS rows; beyond that it is joined.
+more keys shuffle, 16 bytes each, and their count is still exact. The list of repeated keys is broadcast up to MOST_KEYS rows (12 MB). Beyond that,
+the lines that go are joined to their documents; only documents that a filter of those with such lines holds are shuffled, the rest pass where they are read.
 
-Null and empty texts are one empty line. A null doc_id doesn't count as a document and holds no line. Rows with
-the same doc_id are one document: it counts once, and its lines stay or go in all its rows.
+Null and empty texts are one empty line; an empty table gives no rows; texts and lines of any length are whole. A null doc_id doesn't count as a
+document and holds no line. Rows with the same doc_id are one document: it counts once, and its lines stay or go in all its rows; so do rows
+without a doc_id that have the same text. No two documents tie for a line. Extra columns pass through, whatever their names, but
+n_lines and n_dropped give way.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, pieces, staged
+from .common import as_bytes, bit_filter, fresh, held_by, pieces, seen_twice, staged
 
-BITS_A_ROW, MOST_BITS, LEAST_BITS, CHUNKS, SLOTS, FLUSH = 160, 1 << 28, 1 << 16, 128, 2, 2_000_000
+BITS_A_ROW, MOST_BITS, LEAST_BITS = 160, 1 << 28, 1 << 16
 MOST_KEYS = 500_000
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -39,90 +40,51 @@ def fingerprint(line: bytes, least: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def _slots(prints: list[bytes], bits: int) -> np.ndarray:
-    """A row of SLOTS slots for each fingerprint."""
-    return (np.frombuffer(b"".join(prints), np.uint64).reshape(-1, SLOTS) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _packed(slots: np.ndarray, size: int) -> bytes:
-    flags = np.zeros(size, bool)
-    flags[slots] = True
-    return zlib.compress(np.packbits(flags).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8)
-
-
-def twice_filter(docs: DataFrame, least: int, text_at: int, bits: int) -> bytes:
-    """Packed bits of the slots that two documents or more use."""
-    size = bits // CHUNKS
-
-    def note(batches):
-        held: list[np.ndarray] = []
-
-        def flush():
-            slots, counts = np.unique(np.concatenate(held), return_counts=True)
-            twice = slots[counts > 1]
-            rows = {"chunk": [], "once": [], "twice": []}
-            for c in np.unique(slots // size).tolist():
-                a, b = np.searchsorted(slots, [c * size, (c + 1) * size])
-                d, e = np.searchsorted(twice, [c * size, (c + 1) * size])
-                rows["chunk"].append(c)
-                rows["once"].append(_packed(slots[a:b] - c * size, size))
-                rows["twice"].append(_packed(twice[d:e] - c * size, size))
-            held.clear()
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
-
-        for x in pieces(batches, text_at):
-            for t in as_bytes(x.column(text_at)):
-                if own := {p for line in t.split(b"\n") if (p := fingerprint(line, least))}:
-                    held.append(np.unique(_slots(list(own), bits)))
-            if sum(map(len, held)) > FLUSH:
-                yield flush()
-        if held:
-            yield flush()
+def prints_of(text: bytes, least: int) -> list[bytes]:
+    """Fingerprints of the distinct keys of a text's lines."""
+    return list({p for line in text.split(b"\n") if (p := fingerprint(line, least))})
 
-    def merge(key, table):
-        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
-        for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
-            a = _unpacked(a)
-            twice |= _unpacked(b) | (once & a)
-            once |= a
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
 
-    noted = docs.mapInArrow(note, "chunk int, once binary, twice binary")
-    found = noted.groupBy("chunk").applyInArrow(merge, "chunk int, twice binary").collect()
-    out = bytearray(bits // 8)
-    for r in found:
-        out[r.chunk * (size // 8) : (r.chunk + 1) * (size // 8)] = r.twice
-    return bytes(out)
+def first_halves(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), np.int64)[::2]
 
 
 def row_key(id_col: str, text_col: str):
-    """The document a row belongs to; rows without an id are told apart by their text."""
+    """The document a row belongs to; rows without an id are told apart by their text (128 bits)."""
     return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("n"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
 
 
+def key_hashes(batches):
+    """64-bit hashes of a string column's values, for a filter."""
+    for x in batches:
+        yield np.array([xxhash.xxh3_64_intdigest(v) for v in as_bytes(x.column(0))], np.uint64).view(np.int64)
+
+
 def repeated_keys(docs: DataFrame, least: int, in_docs: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, keep): fingerprints found in at least in_docs documents, with the largest id; and the suspects (h1, h2, id)."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rid"))
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(max(1, docs.count() * BITS_A_ROW) - 1).bit_length()))
-    seen = spark.sparkContext.broadcast(twice_filter(narrow, least, 1, bits))
+
+    def hashes(batches):
+        for x in pieces(batches, 1):
+            held = [first_halves(own) for t in as_bytes(x.column(1)) if (own := prints_of(t, least))]
+            if held:
+                yield np.concatenate(held)
+
+    seen = spark.sparkContext.broadcast(seen_twice(narrow, hashes, bits))
 
     def suspect(batches):
         flags = np.frombuffer(seen.value, np.uint8)
         for x in pieces(batches, 1):
             prints, rows = [], []
             for row, t in enumerate(as_bytes(x.column(1))):
-                own = {p for line in t.split(b"\n") if (p := fingerprint(line, least))}
+                own = prints_of(t, least)
                 prints += own
                 rows += [row] * len(own)
             if not prints:
                 continue
-            slots = _slots(prints, bits)
-            hit = ((flags[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=1)
+            hit = held_by(flags, first_halves(prints))
             h = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)[hit]
             own = pa.array(np.array(rows, np.int64)[hit])
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), x.column(0).take(own), x.column(2).take(own)], names=["h1", "h2", "id", "rid"])
@@ -171,15 +133,36 @@ def dedup_lines(docs: DataFrame, least: int = 40, in_docs: int = 5, id_col: str
 
         return df.mapInArrow(by_broadcast, schema)
 
-    goes = suspects.join(keys, ["h1", "h2"]).where("id is null or id <> keep").groupBy("rid").agg(F.collect_set(F.struct("h1", "h2")).alias("_goes"))
-    wide = df.withColumn("_rid", row_key(id_col, text_col)).join(goes, F.col("_rid") == F.col("rid"), "left").drop("rid", "_rid")
+    goes = suspects.join(keys, ["h1", "h2"]).where("id is null or id <> keep").groupBy("rid").agg(F.collect_set(F.struct("h1", "h2")).alias("goes"))
+    goes = staged(goes, "line-goes")  # a document's lines, so no group is larger than a document
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * goes.count()).bit_length()))
+    marked = df.sparkSession.sparkContext.broadcast(bit_filter(goes.select("rid"), bits, key_hashes))
+    (rid,) = fresh(df.columns, "rid")
+    keyed = df.withColumn(rid, row_key(id_col, text_col))
+
+    def hits(x):
+        return held_by(np.frombuffer(marked.value, np.uint8), next(key_hashes([x.select([rid])])))
+
+    def whole(batches):
+        for x in pieces(batches, at):
+            hit = hits(x)
+            if not hit.all():
+                yield cut(x.filter(pa.array(~hit)), lambda row, line: False)
+
+    def looked_at(batches):
+        for x in pieces(batches, at):
+            hit = hits(x)
+            if hit.any():
+                yield x.filter(pa.array(hit))
 
     def by_join(batches):
         for x in pieces(batches, at):
             goes = [{np.array([y["h1"], y["h2"]], np.int64).tobytes() for y in v or ()} for v in x.column(len(columns)).to_pylist()]
             yield cut(x, lambda row, line: bool(goes[row]) and fingerprint(line, least) in goes[row])
 
-    return wide.mapInArrow(by_join, schema)
+    wide = keyed.mapInArrow(looked_at, keyed.schema)
+    wide = wide.join(goes.toDF("goes_rid", "goes_lines"), wide[rid] == F.col("goes_rid"), "left").select(*[wide[c] for c in columns], F.col("goes_lines").alias(rid))
+    return keyed.mapInArrow(whole, schema).union(wide.mapInArrow(by_join, schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:
