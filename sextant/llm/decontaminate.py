@@ -1,22 +1,23 @@
 """Benchmark decontamination by a positional inverted index that is partitioned by document.
 
-Each piece of documents (a few MB of text) becomes postings: for every word that the benchmark knows, the
-sorted positions where it stands. A phrase is looked up from its rarest word in that piece: that word's
-postings, less its offset, are the candidate starts, and the lists of the other words, less theirs, thin them
-out. Postings never leave their task, so neither a common word nor a hot source makes a large group, and a
-lost executor costs only its own pieces.
-
-The benchmark is broadcast in blocks of at most BLOCK_BYTES of text; a larger one takes a pass a block.
-
-Null and wordless texts: no words, nothing found. Null item ids are items like any other ("null" in lists).
-Repeated document rows are answered row by row; repeated item ids are one item. Columns of the input other
-than those named are passed through by `decontaminate` and clash with nothing of its own but its results.
+Each piece of documents (a few MB of text) becomes a segment of the index: for every word that the benchmark knows, the sorted list of
+positions where it stands. A phrase is looked up from the word that is rarest in that segment: that word's list,
+less its offset, gives the candidate starts, and they are intersected with the lists of the other words, less theirs, from the next rarest to the
+commonest. What is left in all lists is an exact occurrence. Lists never leave their segment, so neither a common
+word nor a hot source makes a large group, and a lost executor costs only its own pieces. `build_index` stores the segments as a table and
+`search_index` reads nothing else: so the benchmark may be searched for again, or by near words (`proximity`), without the texts. Where rows of documents
+are wanted with what was found (`decontaminate`, `clean`), segments are built and searched in one pass.
+
+Phrases are broadcast in blocks of at most BLOCK_BYTES of text (an item that is longer makes a block of its own); a larger benchmark takes
+a pass a block.
+
+Null, empty and wordless texts: no words, nothing found. Texts of any length are indexed whole. Empty tables give no rows, an empty benchmark finds
+nothing. Null item ids are items like any other ("null" in lists). Repeated document rows are answered row by row; repeated item ids are
+one item; ties don't arise. Columns of the input other than those named are passed through by `decontaminate` and clash with nothing of its own but its results.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, pieces, staged
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Lower-cases A-Z and turns ASCII that is no letter or digit into spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -39,48 +40,61 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = [self.number.setdefault(w, len(self.number)) for w in words(text)]
-            for at in range(max(1, len(ids) - n + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + n]), set()).add(name)
-        self.names = sorted({x for v in found.values() for x in v})
+        self.names = sorted({name for name, _ in items})
         at = {x: i for i, x in enumerate(self.names)}
+        rows: dict[int, list[np.ndarray]] = {}
+        for name, text in items:
+            ids = np.array([self.number.setdefault(w, len(self.number)) for w in words(text)], np.int32)
+            if len(ids):
+                windows = np.lib.stride_tricks.sliding_window_view(ids, min(n, len(ids)))
+                rows.setdefault(windows.shape[1], []).append(np.concatenate([windows, np.full((len(windows), 1), at[name], np.int32)], axis=1))
         self.groups = []
-        for length in sorted({len(k) for k in found}):
-            keys = [k for k in found if len(k) == length]
-            own = [sorted(at[x] for x in found[k]) for k in keys]
-            self.groups.append((np.array(keys, np.int32), np.cumsum([0, *map(len, own)]), np.array([x for v in own for x in v], np.int64)))
+        for _, found in sorted(rows.items()):
+            every = np.unique(np.concatenate(found), axis=0)  # by phrase, then item
+            new = np.concatenate([[True], (every[1:, :-1] != every[:-1, :-1]).any(axis=1)])
+            self.groups.append((every[new, :-1], np.append(np.flatnonzero(new), len(every)), every[:, -1].astype(np.int64)))
+
 
+class Segment:
+    """Positions by word of a run of documents, one place being left free between two of them."""
 
-class Postings:
-    """Positions by word of a run of documents; documents are kept apart by a number that no phrase has."""
+    def __init__(self, ends: np.ndarray, first: np.ndarray, positions: np.ndarray):
+        self.ends, self.first, self.positions = ends, first, positions  # of documents; of each word's list, and the lists
+        self.count, self.size = np.diff(first), int(ends[-1]) if len(ends) else 0
+        self.keys = np.repeat(np.arange(len(self.count)), self.count) * (self.size + 1) + positions  # all lists, one after another: ascending
 
-    def __init__(self, texts: list[bytes], number: dict[bytes, int]):
-        get, ids, self.ends = number.get, [], []
-        self.n_words = []
+    @classmethod
+    def of(cls, texts: list[bytes], number: dict[bytes, int]) -> Segment:
+        get, ids, ends = number.get, [], []
         for t in texts:
-            found = words(t)
-            self.n_words.append(len(found))
-            ids.extend([get(w, -1) for w in found])
+            ids.extend([get(w, -1) for w in words(t)])
             ids.append(-1)
-            self.ends.append(len(ids))
-        self.ids = np.array(ids, np.int32)
-        self.ends = np.array(self.ends, np.int64)
-        known = np.flatnonzero(self.ids >= 0)
-        self.positions = known[np.argsort(self.ids[known], kind="stable")]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.ids[known], minlength=len(number)))])
-
-    def find(self, phrases: np.ndarray, most: int = 4_000_000):
+            ends.append(len(ids))
+        every = np.array(ids, np.int32)
+        known = np.flatnonzero(every >= 0)
+        positions = known[np.argsort(every[known], kind="stable")]
+        return cls(np.array(ends, np.int64), np.concatenate([[0], np.cumsum(np.bincount(every[known], minlength=len(number)))]), positions)
+
+    @property
+    def n_words(self) -> list[int]:
+        return (np.diff(self.ends, prepend=0) - 1).tolist()
+
+    def in_list(self, word: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position is in the list of its word."""
+        key = word.astype(np.int64) * (self.size + 1) + position
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key
+
+    def find(self, phrases: np.ndarray, most: int = 1_000_000):
         """(start, phrase) arrays of all exact occurrences, from blocks of at most about `most` candidates."""
-        tf = np.diff(self.first)[phrases]
+        tf = self.count[phrases]
         phrases_at = np.flatnonzero(tf.min(axis=1) > 0)
         if not len(phrases_at):
             return
         order = np.argsort(tf[phrases_at], axis=1, kind="stable")
         rare = order[:, 0]
         word = phrases[phrases_at, rare]
-        begin, count = self.first[word], np.diff(self.first)[word]
+        begin, count = self.first[word], self.count[word]
         total = np.cumsum(count)
         at = 0
         while at < len(count):
@@ -88,20 +102,19 @@ class Postings:
             c = count[at:to]
             row = np.repeat(np.arange(at, to), c)
             start = self.positions[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[at:to], c)] - rare[row]
-            fits = (start >= 0) & (start + phrases.shape[1] <= len(self.ids))
+            fits = (start >= 0) & (start + phrases.shape[1] <= self.size)
             row, start = row[fits], start[fits]
             for k in range(1, phrases.shape[1]):
                 offset = order[row, k]
-                same = self.ids[start + offset] == phrases[phrases_at[row], offset]
+                same = self.in_list(phrases[phrases_at[row], offset], start + offset)
                 row, start = row[same], start[same]
             yield start, phrases_at[row]
             at = to
 
 
-def search(texts: list[bytes], phrases: Phrases):
+def search(index: Segment, phrases: Phrases):
     """By document: its number of words, its hit intervals [(from, to)] in words, names of items found."""
-    index = Postings(texts, phrases.number)
-    size = len(index.ids) + 1
+    size = index.size + 1
     depth, found = np.zeros(size, np.int64), [np.zeros(0, np.int64)]
     for rows, first, items in phrases.groups:
         for start, phrase in index.find(rows):
@@ -112,11 +125,11 @@ def search(texts: list[bytes], phrases: Phrases):
     hit = np.concatenate([[False], np.cumsum(depth)[:-1] > 0, [False]])
     edges = np.flatnonzero(hit[1:] != hit[:-1]).reshape(-1, 2)
     doc = np.searchsorted(index.ends, edges[:, 0], side="right")
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in index.ends]
     for d, (a, b) in zip(doc.tolist(), edges.tolist(), strict=True):
         base = int(index.ends[d - 1]) if d else 0
         spans[d].append((a - base, b - base))
-    names: list[list[str]] = [[] for _ in texts]
+    names: list[list[str]] = [[] for _ in index.ends]
     for x in np.unique(np.concatenate(found)).tolist():
         names[x // len(phrases.names)].append(phrases.names[x % len(phrases.names)])
     return index.n_words, spans, names
@@ -137,43 +150,101 @@ FOUND = [T.StructField("n_words", T.LongType()), T.StructField("hits", SPANS), T
 ARROW = [pa.field("n_words", pa.int64()), pa.field("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.field("items", pa.list_(pa.string()))]
 
 
+def _blocks(benchmark: DataFrame, n: int, item_col: str):
+    """The benchmark's phrases, block by block."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    held, size = [], 0
+    for r in items.toLocalIterator():
+        if held and size + len(r.text) > BLOCK_BYTES:
+            yield Phrases(held, n)
+            held, size = [], 0
+        held.append((r.item, bytes(r.text)))
+        size += len(r.text)
+    yield Phrases(held, n)
+
+
+def build_index(docs: DataFrame, number: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index, a row a segment: ids and ends of its documents, and for the words that occur their numbers, how many positions
+    each has, and the positions, word by word."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(number)
+    fields = [("ends", pa.list_(pa.int64())), ("word", pa.list_(pa.int32())), ("count", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))]
+
+    def run(batches):
+        for x in pieces(batches, 1):
+            found = Segment.of(as_bytes(x.column(1)), held.value)
+            word = np.flatnonzero(found.count)
+            values = [found.ends, word, found.count[word], found.positions]
+            ids = pa.ListArray.from_arrays(pa.array([0, x.num_rows], pa.int32()), x.column(0))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([v], t) for v, (_, t) in zip(values, fields, strict=True))], names=["ids", *(n for n, _ in fields)])
+
+    kind = narrow.schema["id"].dataType.simpleString()
+    return staged(narrow.mapInArrow(run, f"ids array<{kind}>, ends array<long>, word array<int>, count array<int>, positions array<int>"), "decontaminate-index")
+
+
+def search_index(index: DataFrame, phrases: Phrases, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, n_words, hits, items) of all documents of a stored index whose words the phrases number alike."""
+    held = index.sparkSession.sparkContext.broadcast(phrases)
+    kind = index.schema["ids"].dataType.elementType
+
+    def run(batches):
+        for x in batches:
+            for i in range(x.num_rows):
+                ids, ends, word, count, positions = (c[i].values for c in x.columns)
+                every = np.zeros(len(held.value.number), np.int64)
+                every[word.to_numpy()] = count.to_numpy()
+                segment = Segment(ends.to_numpy(), np.concatenate([[0], np.cumsum(every)]), positions.to_numpy().astype(np.int64))
+                n_words, spans, names = search(segment, held.value)
+                hits = [[{"start": s, "end": e} for s, e in y] for y in spans]
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, f.type) for v, f in zip((n_words, hits, names), ARROW, strict=True))], names=[id_col, *(f.name for f in ARROW)])
+
+    return index.mapInArrow(run, T.StructType([T.StructField(id_col, kind), *FOUND]))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """docs with n_words, hits (intervals of words that occurrences of the benchmark's n-word windows cover;
     a shorter item is one window) and items (ids as strings, sorted). Columns of docs with these names give way."""
     spark = docs.sparkSession
     df = docs.drop(*[f.name for f in FOUND])
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).head()[0] or 0
-    blocks = -(-total // BLOCK_BYTES) or 1
     own = df.columns
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        phrases = spark.sparkContext.broadcast(Phrases([(r.item, bytes(r.text)) for r in block.toLocalIterator()], n))
-        at, more = own.index(text_col), b > 0
+    at, more = own.index(text_col), False
+    for block in _blocks(benchmark, n, item_col):
+        if more:
+            df = staged(df, "decontaminate")
+        phrases = spark.sparkContext.broadcast(block)
 
-        def run(batches, phrases=phrases, at=at, more=more, own=own):
+        def run(batches, phrases=phrases, more=more):
             for x in pieces(batches, at):
-                n_words, spans, names = search(as_bytes(x.column(at)), phrases.value)
+                n_words, spans, names = search(Segment.of(as_bytes(x.column(at)), phrases.value.number), phrases.value)
                 if more:
-                    spans = [merged(s, [(y["start"], y["end"]) for y in old]) for s, old in zip(spans, x.column("hits").to_pylist(), strict=True)]
-                    names = [sorted({*s, *old}) for s, old in zip(names, x.column("items").to_pylist(), strict=True)]
+                    spans = [merged(s, [(y["start"], y["end"]) for y in old]) for s, old in zip(spans, x.column(len(own) + 1).to_pylist(), strict=True)]
+                    names = [sorted({*s, *old}) for s, old in zip(names, x.column(len(own) + 2).to_pylist(), strict=True)]
                 hits = [[{"start": s, "end": e} for s, e in y] for y in spans]
                 arrays = [pa.array(v, f.type) for v, f in zip((n_words, hits, names), ARROW, strict=True)]
                 fields = [x.schema.field(i) for i in range(len(own))]
                 yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(len(own))), *arrays], schema=pa.schema([*fields, *ARROW]))
 
         df = df.mapInArrow(run, T.StructType([*docs.select(*own).schema.fields, *FOUND]))
-        if b + 1 < blocks:
-            df = staged(df, "decontaminate")
+        more = True
     return df
 
 
+def find_in_index(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(id_col, n_words, hits, items), a row a row of docs, by way of a stored index of the benchmark's words. Where the benchmark takes several
+    blocks, whose finds must meet by row though ids may repeat, `decontaminate` does it pass by pass."""
+    blocks = _blocks(benchmark, n, item_col)
+    first = next(blocks)
+    if next(blocks, None) is not None:
+        return decontaminate(docs.select(F.col(id_col), F.col(text_col)), benchmark, n, text_col, item_col).drop(text_col)
+    return search_index(build_index(docs, first.number, id_col, text_col), first, id_col)
+
+
 def _n_hit() -> str:
     return "aggregate(hits, 0L, (a, h) -> a + h.end - h.start)"
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = decontaminate(docs.select("doc_id", "text"), benchmark)
+    found = find_in_index(docs, benchmark)
     return found.select(
         "doc_id", "n_words", F.expr(_n_hit()).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
@@ -195,7 +266,7 @@ def proximity(docs: DataFrame, terms: list[str], within: int, text_col: str = "t
         for x in pieces(batches, at):
             out = []
             for t in as_bytes(x.column(at)):
-                index = Postings([t], number)
+                index = Segment.of([t], number)
                 lists = [index.positions[index.first[i] : index.first[i + 1]] for i in range(len(number))]
                 out.append(nearest(lists, within))
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(out, pa.int64())], schema=x.schema.append(pa.field("start", pa.int64())))
@@ -217,10 +288,6 @@ def nearest(lists: list[np.ndarray], within: int) -> int | None:
     return int(starts[good[0]]) if len(good) else None
 
 
-def sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 ORACLE = r"""
 WITH d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
