@@ -4,27 +4,33 @@ Each vector is cut into segments; of each, the mean and the deviation (root of t
 are kept. Over a segment of length l, x.y = l mean(x) mean(y) + (x - mean).(y - mean) <= l mean mean + dev dev, so
 sums of those bound a score from above, as |x|^2 + |y|^2 less twice that bounds the squared distance from below. A block of
 candidates is bounded with few segments, what may still be among the best with more, and only
-survivors' scores are computed, in whole numbers.
+survivors' scores are computed, in whole numbers. Where a block of candidates is bounded, those with the highest bounds go first, so that
+the k-th best scores, which the others must reach, rise early. How much that leaves depends on the vectors: `Best.seen` and `Best.survived` count it.
 
-Queries are broadcast in blocks of BLOCK_QUERIES; each block is one pass over the candidates. No task keeps more than its k best for
+Queries are broadcast in blocks of BLOCK_QUERIES; each block is one pass over the candidates, and where there are several, a block's
+best are written and its broadcast is freed before the next. No task keeps more than its k best for
 each query of the block, and the bests of the tasks are ranked by query. Copies of one vector in a third
 of the rows change only how many candidates tie with the k-th best, which are ranked by id.
 
 Null vectors, and those with null or non-finite components, take no part, nor do rows with a null id. Only vectors
 of one length are compared. Empty vectors score 0. Components are taken as floor(256 x); a score beyond 64 bits
-raises an error. Repeated ids are rows like any other, but a query meets no row of its own id.
+raises an error. Repeated ids are rows like any other, but a query meets no row of its own id. Empty tables give no rows. Extra columns
+aren't looked at, whatever their names. Long vectors are whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_QUERIES, BLOCK_ROWS, LEVELS, DENSE = 4096, 2048, (2, 8), 0.02
+from .common import staged
+
+BLOCK_QUERIES, BLOCK_ROWS, LEVELS, PAIRS = 4096, 512, (2, 8, 32), 1 << 15
 
 
 def scaled(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -78,28 +84,40 @@ class Best:
         self.row, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
         self.least = np.full(len(ids), -np.inf)
         self.slack = 1e-9 * (1 + np.abs(vectors).sum(axis=1))
+        self.seen = self.survived = 0
 
     def add(self, ids: np.ndarray, c: np.ndarray) -> None:
+        """Bounds a block of candidates coarse to fine, then scores what is left of it."""
         slack = self.slack[:, None] * (1 + np.abs(c).max(axis=1, initial=0))[None, :]
         alive = self.ids[:, None] != ids[None, :]
+        self.seen += alive.size
+        bound = None
         for level, segments in zip(self.levels, LEVELS, strict=True):
-            fine = statistics(c, segments)
-            if alive.mean() > DENSE:  # a product of whole matrices costs less than its pairs one by one
-                alive &= level @ fine.T + slack >= self.least[:, None]
-            else:
-                q, at = np.nonzero(alive)
-                alive[q, at] = np.einsum("ij,ij->i", level[q], fine[at]) + slack[q, at] >= self.least[q]
-        if alive.mean() > DENSE and whole(self.x, c):
-            scores = np.where(alive, self.x @ c.T, -np.inf)
-            least = self.least
-            if scores.shape[1] > self.k:
-                least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
-            q, at = np.nonzero(alive & (scores >= least[:, None]))
-            score = scores[q, at].astype(np.int64)
-        else:
-            q, at = np.nonzero(alive)
-            score = np.concatenate([exact(self.x[q[a : a + (1 << 17)]], c[at[a : a + (1 << 17)]]) for a in range(0, len(q), 1 << 17)]) if len(q) else np.zeros(0, np.int64)
-        row, score, found = np.concatenate([self.row, q]), np.concatenate([self.score, score]), np.concatenate([self.id, ids[at]])
+            rows, own = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+            if not len(rows):
+                return
+            bound = np.full(alive.shape, -np.inf)
+            bound[np.ix_(rows, own)] = level[rows] @ statistics(c[own], segments).T
+            bound += slack
+            alive &= bound >= self.least[:, None]
+        q, at = np.nonzero(alive)
+        order = np.argsort(-bound[q, at], kind="stable")
+        self.score_pairs(q[order], at[order], bound[q, at][order], ids, c)
+
+    def score_pairs(self, q: np.ndarray, at: np.ndarray, bound: np.ndarray, ids: np.ndarray, c: np.ndarray) -> None:
+        """Exact scores of pairs, the highest bounds first; pairs that the scores so far rule out are left."""
+        for a in range(0, len(q), PAIRS):
+            own = slice(a, a + PAIRS)
+            good = bound[own] >= self.least[q[own]]
+            i, j = q[own][good], at[own][good]
+            self.survived += len(i)
+            self.keep(i, exact(self.x[i], c[j]), ids[j])
+
+    def keep(self, row: np.ndarray, score: np.ndarray, found: np.ndarray) -> None:
+        good = score >= self.least[row]
+        if not good.any():
+            return
+        row, score, found = np.concatenate([self.row, row[good]]), np.concatenate([self.score, score[good]]), np.concatenate([self.id, found[good]])
         order = np.lexsort((found, -score, row))
         row, score, found = row[order], score[order], found[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -124,12 +142,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     spark = vectors.sparkSession
     narrow = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    n = asked.count()
-    blocks, out = -(-n // BLOCK_QUERIES) or 1, None
+    blocks, best = -(-asked.count() // BLOCK_QUERIES) or 1, []
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         table = part.toArrow().combine_chunks()
         held = spark.sparkContext.broadcast(list(_vectors(np.array(table.column("id").to_pylist(), object), table.column("v").combine_chunks())) if len(table) else [])
+        del table
 
         def run(batches, held=held):
             best = {m: Best(ids, x, k) for m, ids, x in held.value}
@@ -139,13 +157,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                     for m, ids, c in _vectors(np.array(x.column(0).to_pylist(), object), x.column(1)):
                         if m in best:
                             best[m].add(ids, c)
-            for y in best.values():
-                yield pa.RecordBatch.from_arrays([pa.array(y.ids[y.row]), pa.array(y.row), pa.array(y.id), pa.array(y.score)], names=["query_id", "_row", "vec_id", "score"])
-
-        found = narrow.mapInArrow(run, "query_id long, _row long, vec_id long, score long").withColumn("_block", F.lit(b))
-        out = found if out is None else out.unionByName(found)
-    order = Window.partitionBy("query_id", "_block", "_row").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for m, y in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(y.ids[y.row]), pa.array(np.full(len(y.row), m)), pa.array(y.row), pa.array(y.id), pa.array(y.score)], names=["query_id", "length", "row", "vec_id", "score"])
+
+        found = narrow.mapInArrow(run, "query_id long, length long, row long, vec_id long, score long")
+        order = Window.partitionBy("query_id", "length", "row").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            ranked = staged(ranked, "topk-block")
+            held.unpersist()
+        best.append(ranked)
+    return reduce(DataFrame.union, best)
 
 
 def digest(vectors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -88,6 +89,26 @@ def test_lines(spark, monkeypatch, most):
     assert sorted((tuple(x) for x in line_dedup.digest(df).collect()), key=str) == brute_lines(rows)
     assert line_dedup.dedup_lines(df).columns == [*df.columns, "n_lines", "n_dropped"]
     assert line_dedup.digest(df.limit(0)).collect() == []
+    clashing = df.selectExpr("*", "lang as rid", "lang as _rid", "lang as rid_", "lang as goes", "lang as keep", "lang as _goes")
+    out = line_dedup.dedup_lines(clashing)
+    assert out.columns == [*clashing.columns, "n_lines", "n_dropped"] and {r.rid for r in out.collect()} == {"a"}
+    assert sorted((r.doc_id, r.text or "") for r in out.collect() if r.doc_id is not None) == sorted((r.doc_id, r.text or "") for r in line_dedup.dedup_lines(df).collect() if r.doc_id is not None)
+
+
+def test_only_marked_rows_move(spark, monkeypatch):
+    """Past MOST_KEYS and with a filter that lets everything through, results stay and only rows that lose lines are shuffled with their texts."""
+    monkeypatch.setattr(line_dedup, "MOST_KEYS", 0)
+    rows = [(i, f"line {i} is a line of its own that stands nowhere else at all\n" + ("common line that many documents hold, " * 2 if i % 10 == 0 else "")) for i in range(200)]
+    df = spark.createDataFrame([(*x, "a", "b", "c") for x in rows], DOCS)
+    for bits in (1 << 28, 1 << 10):
+        monkeypatch.setattr(line_dedup, "MOST_BITS", bits)
+        monkeypatch.setattr(line_dedup, "LEAST_BITS", min(bits, 1 << 16))
+        assert sorted((tuple(x) for x in line_dedup.digest(df).collect()), key=str) == brute_lines(rows)
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 1 << 28)
+    monkeypatch.setattr(line_dedup, "LEAST_BITS", 1 << 16)
+    out = line_dedup.dedup_lines(df)
+    out.collect()
+    assert re.search("LeftOuter", out._jdf.queryExecution().toString())
 
 
 def test_filter_merges_tasks(spark):
@@ -105,6 +126,22 @@ def brute_top(rows, k=5):
     return sorted(out)
 
 
+def test_bounds_prune():
+    """On vectors in clusters the bounds leave few pairs to score; on any, the best are the same."""
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 40, (20, 64))
+    x = np.floor(centres[np.arange(3000) % 20] + r.normal(0, 4, (3000, 64)))
+    ids = np.arange(3000)
+    best = topk.Best(ids[::50], x[::50], 5)
+    for a in range(0, 3000, 300):
+        best.add(ids[a : a + 300], x[a : a + 300])
+    scores = x[::50] @ x.T
+    scores[np.arange(60), ids[::50]] = -np.inf
+    want = {(q, i) for q in range(60) for i in np.lexsort((ids, -scores[q]))[:5].tolist()}
+    assert set(zip(best.row.tolist(), best.id.tolist(), strict=True)) == want
+    assert best.survived < 0.15 * best.seen
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_top(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
