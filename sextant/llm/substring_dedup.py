@@ -2,8 +2,8 @@
 
 In suffix order, the suffixes that share their first LEAST bytes stand together, and the previous and next smaller
 position of one among them say whether an earlier match of that length exists: its longest previous factor reaches
-LEAST exactly if it isn't the first of its run. That is all that is asked here, so runs are told by a 64-bit hash of those bytes in place of the
-sorted bytes themselves, and the first of a run by its least position. A suffix sort of every position would move
+LEAST exactly if it isn't the first of its run. That is all that is asked here, so runs are told by 128 bits of hashes (of those bytes and of
+their anchor, see below) in place of the sorted bytes themselves, and the first of a run by its least position. A suffix sort of every position would move
 many times the input; instead
 
 1. Every window of LEAST bytes has an anchor: the GRAM bytes in it with the least hash, the leftmost of those. Equal windows have
@@ -16,8 +16,10 @@ many times the input; instead
 
 `longest_previous_factor` builds the whole arrays for one text by prefix doubling, as a check and for single texts.
 
-Texts are UTF-8 bytes, null is empty; matches never cross documents. Rows that repeat id and text are copies of each other; rows that
-only repeat an id are told apart by their text. Extra columns aren't kept by `spans`; a null id is an id.
+Texts are UTF-8 bytes, null is empty, those shorter than LEAST keep all; long ones are read in overlapping runs, whole; an empty table gives no rows.
+Matches never cross documents. Rows that repeat id and text are copies of each other; rows that only repeat an id (null is one) are told apart by
+64 bits of their text. Of copies with keep_first, the least (id, hash of the text, place) is the first. Extra columns pass through `remove_repeats`
+whatever their names, but those of its results give way; `spans` keeps none.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, bit_filter, dropped, held_by, mixed, pieces, seen_twice, staged
+from .common import as_bytes, bit_filter, dropped, fresh, held_by, mixed, pieces, seen_twice, staged
 
 LEAST, GRAM, STEP, MOST_BITS, CHUNK, PIECE = 200, 40, 16, 1 << 28, 1 << 18, 1 << 20
 
@@ -205,7 +207,7 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
         at = (cut["at"] + starts[cut["part"]])[good]
         return pa.RecordBatch.from_arrays([pa.array(cut["g"][good]), pa.array(cut["c"][good]), x.column(0).take(own), x.column(1).take(own), pa.array(at), pa.array(cut["n"][good].astype(np.int32))], names=["g", "c", "id", "x", "s", "n"])
 
-    schema = "g long, c long, id long, x int, s long, n int"
+    schema = "g long, c long, id long, x long, s long, n int"
     found = kept(narrow.mapInArrow(blocks, schema), "blocks")
     twice.unpersist()
     copies, probes = repeated(found, "block")
@@ -236,17 +238,17 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
                 if seen is None:
                     yield h
                 else:
-                    yield batch_of(x, rows, starts, {"g": h, "c": h, "part": part, "at": p, "n": np.ones(len(p), np.int64)}, held_by(seen, h))
+                    yield batch_of(x, rows, starts, {"g": w.gram[np.repeat(cut["block"][good], cut["n"][good])], "c": h, "part": part, "at": p, "n": np.ones(len(p), np.int64)}, held_by(seen, h))
 
         return run
 
     bits = min(MOST_BITS, max(1 << 16, 1 << int(16 * probes.count() * step // 2).bit_length()))
     again = spark.sparkContext.broadcast(seen_twice(narrow, spelled(), bits))
-    windows = kept(narrow.mapInArrow(spelled(again), schema).select("c", "id", "x", "s"), "windows")
-    runs = windows.groupBy("c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")).where("k > 1")
-    hits = windows.join(runs, "c").where(whole)
+    windows = kept(narrow.mapInArrow(spelled(again), schema).select("g", "c", "id", "x", "s"), "windows")
+    runs = windows.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")).where("k > 1")
+    hits = windows.join(runs, ["g", "c"]).where(whole)
     every = copies.union(more).union(hits.select("id", "x", "s", F.lit(1).alias("n")))
-    return every.groupBy("id", "x").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    return every.groupBy("id", "x").agg(F.collect_set(F.struct("s", "n")).alias("spans"))  # copies of a row have the same spans: a group is one text's
 
 
 def _ids(column) -> np.ndarray:
@@ -254,7 +256,7 @@ def _ids(column) -> np.ndarray:
 
 
 def text_hash(text_col: str):
-    return F.hash(F.coalesce(F.col(text_col), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def covered(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -317,9 +319,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, keep_first: bool = False
 
     kinds = {"kept": T.BinaryType(), "kept_sha256": T.StringType()}
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n, _ in extra)])
-    keyed = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_x", text_hash(text_col))
+    row_id, row_text, of_id, of_text, row_spans = fresh(own, "row_id", "row_text", "of_id", "of_text", "row_spans")
+    keyed = df.withColumn(row_id, F.col(id_col).cast("long")).withColumn(row_text, text_hash(text_col))
     some = keyed.mapInArrow(repeated, keyed.schema)
-    wide = some.join(found.toDF("_i", "_h", "_spans"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h")), "left").select(*own, "_spans")
+    wide = some.join(found.toDF(of_id, of_text, row_spans), F.col(row_id).eqNullSafe(F.col(of_id)) & (F.col(row_text) == F.col(of_text)), "left").select(*own, row_spans)
     return keyed.mapInArrow(plain, schema).union(wide.mapInArrow(cut, schema))
 
 

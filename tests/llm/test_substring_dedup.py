@@ -86,3 +86,16 @@ def test_lpf():
 
 def test_empty(spark):
     assert substring_dedup.digest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clashing_names_and_null_ids(spark):
+    r = random.Random(9)
+    a, b, c = ("".join(r.choices("abcdefghij", k=300)) for _ in range(3))
+    rows = [(None, a), (None, a), (None, b + a[:250]), (None, c), (4, b), (4, c[:100])]
+    df = spark.createDataFrame([(*x, "z") for x in rows], SCHEMA)
+    names = ["_id", "_x", "_spans", "row_id", "row_text", "row_spans", "of_id", "id", "x", "spans"]
+    wide = df.selectExpr("*", *[f"'keep' as {n}" for n in names])
+    out = substring_dedup.remove_repeats(wide)
+    assert [x for x in out.columns if x in names] == names and {x._id for x in out.collect()} == {"keep"}
+    got = [tuple(x) for x in out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute(rows, 200)
