@@ -4,10 +4,13 @@ The lexicon is learned: words and word beginnings (5 and 6 letters) that labelle
 often than others, beside a few fixed insults. Features are its densities, how near a hit stands to a
 second-person pronoun, capitals, punctuation, obfuscation and repetition. Only the text is an input.
 
-Fitting reads at most SAMPLE labelled documents (those with the least hashed ids; the documented bound), which
-are broadcast by id; scoring reads all documents in one pass without a shuffle.
+Fitting reads at most SAMPLE labelled documents (those with the least hashed ids; the documented bound), one row each (of rows with one id the
+text with the least hash), whose ids are broadcast; scoring reads all documents in one pass without a shuffle. Of the sample, every fourth document
+(by its hashed id) is kept for the calibration: neither the lexicon nor the trees see its label. The lexicon is chosen among the LEXICON_POOL terms
+that most exclusively stand in toxic documents; it keeps LEXICON of them.
 
-Null texts count as empty and are scored like empty ones. Labels that are null are no labels; of several labels of a document
+Null texts count as empty and are scored like empty ones; texts of any length are read whole; an empty table gives no rows. Ties in
+the choice of terms go to the term that sorts first. Labels that are null are no labels; of several labels of a document
 the highest counts; rows with one doc_id are rows like any other. Without labels of both kinds every score is the
 labels' mean (0 without labels). Columns of docs pass through; clashing names give way to the results.
 """
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import dropped, pieces, staged
 
-SAMPLE, LEXICON, LEAST_SUPPORT, TREES, DEPTH, RATE, BINS, LEAF = 20_000, 400, 6, 120, 3, 0.15, 32, 12
+SAMPLE, LEXICON, LEXICON_POOL, LEAST_SUPPORT, TREES, DEPTH, RATE, BINS, LEAF = 20_000, 400, 8_000, 6, 120, 3, 0.15, 32, 12
 
 # Common insults, and second-person words in English, French, German and Spanish.
 INSULTS = {"idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "fool", "imbecile", "hate", "shut", "ugly", "freak"}
@@ -157,10 +160,10 @@ class Boosted:
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step fit of y on raw (pool adjacent violators)."""
-    order = np.argsort(raw, kind="stable")
+    levels, at = np.unique(raw, return_inverse=True)  # equal scores are one level, whatever their labels' order
     blocks: list[list[float]] = []
-    for r, v in zip(raw[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1, r, r])
+    for r, v, n in zip(levels.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist(), strict=True):
+        blocks.append([v, n, r, r])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
@@ -192,7 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labels (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0, at most SAMPLE of them."""
     known = labels.where(in_training() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("_y").cast("int").alias("y"))
+    own = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = own.join(F.broadcast(known), F.col("id") == F.col("doc_id")).groupBy("id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    sample = staged(sample.select("text", F.col("_y").cast("int").alias("y"), (F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(4)) == 0).alias("held")), "toxicity-sample")
     ids = known.agg(F.count("*").alias("n"), F.avg("_y").alias("m")).head()
     if not ids.n:
         return Model({}, None, None, 0.0)
@@ -200,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model({}, None, None, float(ids.m))
 
     def terms(batches):
-        for x in pieces(batches, 0, 32 << 20):
+        for x in pieces(batches, 0, 8 << 20):
             seen = (Counter(), Counter())
             docs_of = [0, 0]
             for t, y in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
@@ -211,9 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             every = [*seen[0].keys() | seen[1].keys()]
             yield pa.RecordBatch.from_arrays([pa.array(["", *every], pa.string()), pa.array([docs_of[1], *(seen[1][k] for k in every)], pa.int64()), pa.array([docs_of[0], *(seen[0][k] for k in every)], pa.int64())], names=["term", "t", "c"])
 
-    counted = sample.mapInArrow(terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = sample.where("not held").select("text", "y").mapInArrow(terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     telling = counted.where((F.col("t") >= LEAST_SUPPORT) & ((F.col("t") > F.col("c") * 0.05) | (F.col("term") == "")))
-    ranked = telling.orderBy(F.col("term") != "", F.desc(F.col("t") / (F.col("c") + 1)), "term").limit(20 * LEXICON).collect()
+    ranked = telling.orderBy(F.col("term") != "", F.desc(F.col("t") / (F.col("c") + 1)), "term").limit(LEXICON_POOL).collect()
     total = next(((r.t, r.c) for r in ranked if not r.term), (0, 0))
     weights = learned_weights([(r.term, r.t, r.c) for r in ranked if r.term], *total)
     weights = {w: 2.0 for w in INSULTS} | weights
@@ -222,17 +227,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         lexicon = Lexicon(weights)
         for x in pieces(batches, 0):
             f = features([t or "" for t in x.column(0).to_pylist()], lexicon)
-            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), x.column(1)], names=["f", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), x.column(1), x.column(2)], names=["f", "y", "held"])
 
-    table = sample.mapInArrow(measure, "f array<double>, y int").toArrow()
+    table = sample.mapInArrow(measure, "f array<double>, y int, held boolean").toArrow()
+    dropped(sample)
     if not table.num_rows:
         return Model({}, None, None, 0.0)
     x = np.array(table.column("f").to_pylist())
     y = (np.array(table.column("y").to_pylist()) > 0).astype(float)
+    held = np.array(table.column("held").to_pylist(), bool)
     order = np.lexsort((*x.T, y))  # the same rows in the same order, whatever the tasks' order was
-    x, y = x[order], y[order]
-    held = np.arange(len(y)) % 4 == 0
-    if not (0 < y[~held].mean() < 1 and 0 < y[held].mean() < 1):
+    x, y, held = x[order], y[order], held[order]
+    if held.all() or not held.any() or not (0 < y[~held].mean() < 1 and 0 < y[held].mean() < 1):
         return Model(weights, None, None, float(y.mean()))
     trees = Boosted.fit(x[~held], y[~held])
     return Model(weights, trees, isotonic(trees.raw(x[held]), y[held]), float(y.mean()))

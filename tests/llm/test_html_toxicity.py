@@ -96,6 +96,18 @@ def test_edges(spark):
     assert toxicity.digest(docs.limit(0), labels).collect() == []
 
 
+def test_sample_is_bounded_by_rows(spark):
+    """A labelled document that stands in many rows is one row of the sample; the model is the same in whatever order rows come."""
+    rows = [(i, "you idiot worthless clown " * (i % 3 + 1) if i % 2 else "the fine day " * (i % 9 + 1)) for i in range(120)]
+    docs = spark.createDataFrame(rows + [rows[7]] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    one, many = toxicity.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string"), labels), toxicity.fit(docs.repartition(5), labels)
+    assert one.weights == many.weights and one.mean == many.mean
+    assert all((a == b).all() for x, y in zip(one.trees.trees, many.trees.trees, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(y) >= 0).all() and x[0] == 1
+    x, y = toxicity.isotonic(np.array([1.0, 1, 1, 1, 2, 2]), np.array([0.0, 0, 0, 1, 1, 1]))
+    assert np.interp(1.0, x, y) < 0.3 and np.interp(2.0, x, y) > 0.9
