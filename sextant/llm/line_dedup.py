@@ -10,7 +10,7 @@ The filter has BITS_A_ROW bits a document, MOST_BITS at most (32 MB, the size of
 more keys shuffle, 16 bytes each, and their count is still exact. The list of repeated keys is broadcast up to MOST_KEYS rows (12 MB). Beyond that,
 the lines that go are joined to their documents; only documents that a filter of those with such lines holds are shuffled, the rest pass where they are read.
 
-Null and empty texts are one empty line; an empty table gives no rows; texts and lines of any length are whole. A null doc_id doesn't count as a
+Null and empty texts are one empty line, and stay what they are; an empty table gives no rows; texts and lines of any length are whole. A null doc_id doesn't count as a
 document and holds no line. Rows with the same doc_id are one document: it counts once, and its lines stay or go in all its rows; so do rows
 without a doc_id that have the same text. No two documents tie for a line. Extra columns pass through, whatever their names, but
 n_lines and n_dropped give way.
@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, least: int = 40, in_docs: int = 5, id_col: str
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(stay))
         arrays = list(x.columns)[: len(columns)]
-        arrays[at] = pa.array(texts, pa.binary()).cast(arrays[at].type)
+        arrays[at] = pa.array(texts, pa.binary(), mask=np.asarray(x.column(at).is_null())).cast(arrays[at].type)  # null stays null
         fields = [pa.field(f.name, f.type, True, f.metadata) for f in list(x.schema)[: len(columns)]]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema=pa.schema([*fields, pa.field("n_lines", pa.int64()), pa.field("n_dropped", pa.int64())]))
 

@@ -42,9 +42,27 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == held.count()
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
 def test_empty(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([], schema)
-    for name, stage in corpus_pipeline.STAGES[1:3] + corpus_pipeline.STAGES[4:]:
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
+def test_odd_rows(spark):
+    """Null ids and texts, repeated rows and columns of other names go through all stages; rows without words stay to the end."""
+    text = "some plain words that make a text of their own and nothing else at all"
+    rows = [(1, text), (2, text), (2, text), (None, text), (None, None), (3, None), (3, ""), (4, "other words stand here for a change of scene today"), (4, "other words stand here for a change of scene today"), (None, "a null id may hold a text of its own that is kept")]
+    docs = spark.createDataFrame([(*x, "en", "s", 1, i) for i, x in enumerate(rows)], SCHEMA + ", rid long").selectExpr("*", "rid as _id", "rid as score", "rid as key_")
+    for name, stage in corpus_pipeline.STAGES:
+        docs, before = stage(spark, docs, SF), docs.columns
+        if name == "ngram_join":
+            held = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        assert name == "packing" or docs.columns == before
+    assert held == sorted([(1, text), (None, None), (3, None), (3, ""), rows[7], rows[9]], key=str)
+    assert docs.count() == len(held)
