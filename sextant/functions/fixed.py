@@ -9,6 +9,14 @@ EXCLUDED_DIRS = (
     ".ace-tool .cache .codegraph .git .hg .next .nuxt .svn .svelte-kit .turbo .venv build coverage deps dist node_modules out target third_party vendor venv"
 ).split()
 
+# What is left out of a project whatever its ignore files say, and the names of ignore files in the order in which they are read; a tool's own
+# folder and ignore file are added as parameters.
+HARD_EXCLUDES = (
+    ".git/ .hg/ .svn/ .model-cache/ node_modules/ dist/ build/ out/ coverage/ .next/ .nuxt/ .svelte-kit/ .turbo/ .cache/ __pycache__/ .venv/ venv/ vendor/ target/ "
+    ".codegraph/ .codex/ .ace-tool/ .idea/ .vscode/ *.min.* *.exe *.log"
+).split()
+IGNORE_FILES = ".gitignore .cursorignore .ignore".split()
+
 STOP_WORDS = "a all and are be by code does file files find for from how in is it of on or the this to where with".split()
 GRAPH_STOP_WORDS = (
     "a about after all and are around be before by can code could does file files find for from happen how in including is it large make makes making of on or"

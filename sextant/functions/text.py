@@ -63,7 +63,10 @@ def expand_token(c: str, stop: Iterable[str] = ()) -> str:
         + let("ws", "filter(ps, p -> p rlike '^[a-z0-9]+$')", "if(size(ws) > 1, array(array_join(ws, ''), array_join(ws, '_')), cast(array() as array<string>))")
         + f", array(lower({replaced('r', f'[^A-Za-z0-9_${HAN}]', '')})))"
     )
-    return useful(let("r", raw, let("ps", identifier_parts("r"), forms)), stop)
+    every = useful(let("r", raw, let("ps", identifier_parts("r"), forms)), stop)
+    # a word that is one part has one form: most tokens need none of the above
+    plain = f"if(length({c}) >= 2 and not (lower({c}) in ({', '.join(map(quote, stop)) or quote('')})), array(lower({c})), cast(array() as array<string>))"
+    return f"if({has(c, '^(?:[A-Za-z][a-z0-9]*|[A-Z]+)$')}, {plain}, {every})"
 
 
 def raw_tokens(c: str) -> str:

@@ -213,41 +213,23 @@ def w11_range_merge_capped(spark, sf_dir):
     return ranges.merge(spans(spark, sf_dir), ["k"], 5, 3)
 
 
-THIN = "(SELECT l_suppkey AS k, CAST(l_orderkey AS BIGINT) AS s, CAST(l_orderkey + l_linenumber AS BIGINT) AS e FROM lineitem)"
-
-
-@query(f"SELECT a.k, a.s, a.e FROM {THIN} a WHERE a.k <= 5 AND NOT EXISTS (SELECT 1 FROM {THIN} b WHERE b.k = a.k + 5 AND a.s <= b.e + 12 AND b.s <= a.e + 12)")
-def j13_ranges_apart(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").cast("long").alias("s"), E("cast(l_orderkey + l_linenumber as bigint)").alias("e"))
-    return ranges.apart(r.where("k <= 5"), r.select((F.col("k") - 5).alias("k"), "s", "e"), ["k"], 12)
-
-
 FLAGGED = "(SELECT l_suppkey AS k, CAST(l_orderkey AS BIGINT) AS s, CAST(l_orderkey + l_linenumber AS BIGINT) AS e, l_returnflag AS flag FROM lineitem)"
 
 
 @query(f"SELECT a.k, a.s, a.e FROM {FLAGGED} a WHERE a.flag = 'R' AND NOT EXISTS (SELECT 1 FROM {FLAGGED} b WHERE b.flag IS DISTINCT FROM 'R' AND b.k = a.k AND a.s <= b.e + 12 AND b.s <= a.e + 12)")
 def j13_flags_apart(spark, sf_dir):
-    """Over all of lineitem, rows of one l_returnflag against the others'; j13_ranges_apart compares ten suppliers, as its SQL does."""
+    """Over all of lineitem, rows of one l_returnflag against the others'."""
     r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").cast("long").alias("s"), E("cast(l_orderkey + l_linenumber as bigint)").alias("e"), F.col("l_returnflag").alias("flag"))
     own = E("flag <=> 'R'")
     return ranges.apart(r.where(own).drop("flag"), r.where(~own).drop("flag"), ["k"], 12)
 
 
-HITS = f"(SELECT path, ln, CAST(length(line) % 7 + 1 AS DOUBLE) / 4 AS score, max(ln) OVER (PARTITION BY path) AS n_lines FROM {LINES} WHERE length(line) % 3 = 0)"
-
-
 def hits(spark, sf_dir):
     """Every line, with a made score."""
     n = F.max("ln").over(Window.partitionBy("path"))
     return lines(spark, sf_dir).select("path", "ln", "line", E("(length(line) % 7 + 1) / 4.0D").alias("score"), n.alias("n_lines"))
 
 
-@query(f"SELECT a.path, a.ln, round(a.score + sum(CASE WHEN b.ln = a.ln THEN 0 WHEN abs(a.ln - b.ln) <= 12 THEN b.score * (1 - abs(a.ln - b.ln) / 16.0::DOUBLE) * 0.7 ELSE b.score * 0.12 END), 8) AS near FROM {HITS} a JOIN {HITS} b ON a.path = b.path AND abs(a.ln - b.ln) <= 40 GROUP BY a.path, a.ln, a.score")
-def j14_line_bands(spark, sf_dir):
-    """Of the lines that its SQL takes; j14_all_line_bands has all."""
-    return ranges.near_scores(hits(spark, sf_dir).where("length(line) % 3 = 0"), ["path"]).select("path", "ln", F.round("near", 8).alias("near"))
-
-
 ALL_HITS = f"(SELECT path, ln, CAST(length(line) % 7 + 1 AS DOUBLE) / 4 AS score FROM {LINES})"
 
 
@@ -403,28 +385,6 @@ def a18_quality_totals(spark, sf_dir):
 
 # ---- vectors
 
-V = "(SELECT a.vec_id AS qid, b.vec_id AS id, 'group' || b.label AS path, round(list_inner_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 1, 2, 3))"
-VR = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {V} WHERE score >= 0.25 QUALIFY rank <= 32)"
-
-
-def vector_hits(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id in (0, 1, 2, 3)").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    return vector.search(e.select(F.col("vec_id").alias("id"), F.concat(F.lit("group"), "label").alias("path"), "embedding"), q)
-
-
-@query(f"SELECT qid, id, path, score, CAST(rank AS INTEGER) AS rank FROM {VR}")
-def l2_vector_topk(spark, sf_dir):
-    """With F4, the floor, and S10, stored vectors; four probes are the query batch."""
-    return vector_hits(spark, sf_dir)
-
-
-@query(f"SELECT qid, path, round(least(1, max(score) + 0.04 * least(3, count(*) - 1)), 6)::DOUBLE AS score, count(*) AS hits, array_to_string(list_slice(list(id ORDER BY rank), 1, 3), ',') AS ids FROM {VR} GROUP BY qid, path")
-def a12_vector_collapse(spark, sf_dir):
-    out = vector.collapse(vector_hits(spark, sf_dir))
-    return out.select("qid", "path", R6("score"), "hits", E("array_join(transform(ids, x -> string(x)), ',')").alias("ids"))
-
-
 VA = "(SELECT a.vec_id AS qid, b.vec_id AS id, 'group' || b.label AS path, round(list_inner_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
 VAR = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {VA} WHERE score >= 0.25 QUALIFY rank <= 32)"
 
@@ -438,7 +398,7 @@ def batch_hits(spark, sf_dir):
 
 @query(f"SELECT qid, id, path, score, CAST(rank AS INTEGER) AS rank FROM {VAR}")
 def l2_vector_topk_batch(spark, sf_dir):
-    """For every fiftieth vector; l2_vector_topk has the four of its SQL, as a12_vector_collapse."""
+    """With F4, the floor, and S10, stored vectors; every fiftieth vector asks."""
     return batch_hits(spark, sf_dir)
 
 

@@ -15,8 +15,8 @@ NOT_APPLICABLE = {
 
 #: Row -> the query that computes it.
 COVERED_BY = {
-    "A15": "m4_merge_candidates", "A21": "t_exec", "F4": "l2_vector_topk", "J2": "a4_bm25", "J3": "a6_subword_scores", "J4": "a7_path_scores", "J15": "m4_merge_candidates", "K6": "z11_hint_lines",
-    "L1": "x18_rerank", "Q1": "hybrid_search", "Q10": "a18_quality", "R4": "r1_event_stream", "S10": "l2_vector_topk", "T-readfile": "l10_line_page", "T-rg": "t_rg", "T-ls": "t_ls", "T-tree": "t_tree",
+    "A15": "m4_merge_candidates", "A21": "t_exec", "F4": "l2_vector_topk_batch", "J2": "a4_bm25", "J3": "a6_subword_scores", "J4": "a7_path_scores", "J15": "m4_merge_candidates", "K6": "z11_hint_lines",
+    "L1": "x18_rerank", "Q1": "hybrid_search", "Q10": "a18_quality", "R4": "r1_event_stream", "S10": "l2_vector_topk_batch", "T-readfile": "l10_line_page", "T-rg": "t_rg", "T-ls": "t_ls", "T-tree": "t_tree",
     "T-glob": "t_glob", "T-exec": "t_exec", "U5": "m6_remote_union", "W2": "m1_chunk_rrf", "W3": "m1_chunk_rrf", "W5": "l3_dynamic_top_k", "W8": "m2_clause_rrf", "X32": "x1_identifier_parts", "X38": "x39_embed",
     "Z2": "a9_graph_scores", "Z3": "a10_query_coverage", "Z5": "z20_sync_report", "Z7": "j12_changed_and_deleted", "Z12": "f8_result_normaliser", "Z19": "f8_result_normaliser",
 }

@@ -46,10 +46,10 @@ NAME = "lower(list_last(string_split(path, '/')))"
 @query(f"""
 SELECT path, size, rn FROM (
   SELECT path, size, CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS rn FROM (SELECT path, CAST(strlen(text) AS BIGINT) AS size FROM {FILES})
-  WHERE list_contains({duck.stop_list(fixed.SOURCE_EXTENSIONS)}, {EXT}) AND size > 0 AND size <= 20000
+  WHERE list_contains({duck.stop_list(fixed.SOURCE_EXTENSIONS)}, {EXT}) AND size > 0 AND size <= 1000000
     AND NOT list_has_any(string_split(path, '/'), {duck.stop_list(fixed.EXCLUDED_DIRS)})) WHERE rn <= 6000""")
 def s1_project_scan(spark, sf_dir):
-    return tree.scan(files(spark, sf_dir), most_bytes=20_000).select("path", "size", "rn")
+    return tree.scan(files(spark, sf_dir)).select("path", "size", "rn")
 
 
 @query(f"""
@@ -71,6 +71,27 @@ IGNORED = [("a.log",), ("src/x.log",), ("src/keep.log",), ("tmp/a",), ("src/tmp/
 RULES = [("", 1, r"^(.*/)?[^/]*\.log(/.*)?$", False), ("", 2, r"^tmp/.*$", False), ("", 3, r"^src/(.*/)?gen(/.*)?$", False), ("", 4, r"^src/keep\.log(/.*)?$", True), ("src", 1, r"^(.*/)?secret\.[^/]*(/.*)?$", False), ("src", 2, r"^(.*/)?secret\.md(/.*)?$", True), ("", 5, r"^(.*/)?cache[^/](/.*)?$", False)]
 
 
+HARD = [("a/__pycache__/x.pyc",), ("b.min.js",), ("src/x.min.css.map",), ("run.exe",), ("x/server.log",), (".idea/w.xml",), ("src/.vscode/s.json",), ("vendor/a.go",), ("src/vendors/a.go",), ("distx/a.js",), ("src/dist/a.js",), ("logs/a.txt",), ("minify.js",)]
+
+
+@query(f"""
+SELECT path, regexp_matches(path, '(^|/)(\\.git|\\.hg|\\.svn|\\.model-cache|node_modules|dist|build|out|coverage|\\.next|\\.nuxt|\\.svelte-kit|\\.turbo|\\.cache|__pycache__|\\.venv|venv|vendor|target|\\.codegraph|\\.codex|\\.ace-tool|\\.idea|\\.vscode)/')
+    OR regexp_matches(path, '(^|/)[^/]*(\\.min\\.[^/]*|\\.exe|\\.log)(/|$)') AS ignored FROM (SELECT path FROM {values(HARD, 'path string')} UNION ALL SELECT path FROM {FILES})""")
+def s4_hard_excludes(spark, sf_dir):
+    both = made(spark, HARD, "path string").union(files(spark, sf_dir).select("path"))
+    return both.withColumn("ignored", E(tree.is_hard_excluded("path")))
+
+
+IGNORE_FILES = [("a.md", "text"), (".gitignore", "# made\n\n*.tmp\n!keep.tmp\r\n"), ("x.tmp", ""), ("keep.tmp", ""), ("src/.ignore", "gen/\nkeep.tmp"), ("src/gen/a.ts", ""), ("src/keep.tmp", ""), ("gen/a.ts", ""), ("src/y.tmp", ""), ("z.exe", "")]
+
+
+@query(f"SELECT path, path IN ('x.tmp', 'src/gen/a.ts', 'src/keep.tmp', 'src/y.tmp', 'z.exe') AS ignored FROM {values(IGNORE_FILES, 'path string, body string')}")
+def s4_discovered_rules(spark, sf_dir):
+    """Rules are read from the project's own ignore files."""
+    tree_files = made(spark, IGNORE_FILES, "path string, text string")
+    return tree.with_ignored(tree_files).select("path", "ignored")
+
+
 @query(f"""
 SELECT path, coalesce(arg_max(NOT neg, length(dir) * 1000 + seq), false) AS ignored FROM {values(IGNORED, 'path string')}
 LEFT JOIN {values(RULES, 'dir string, seq int, pattern string, neg boolean', 'r')}
@@ -410,14 +431,8 @@ def z23_path_helpers(spark, sf_dir):
     return of_paths(spark).select("path", E(paths.normalized("path")).alias("key"), F.concat(F.lit("/codebase/"), "path").alias("prefixed"), E(text.path_words("path")).alias("words"))
 
 
-@query(f"SELECT path, 'file: ' || trim(regexp_replace(path, '[^A-Za-z0-9]+', ' ', 'g')) || chr(10) || left(text, 400) AS chunk_text FROM {FILES}")
-def x36_chunk_text(spark, sf_dir):
-    return files(spark, sf_dir).select("path", F.concat(F.lit("file: "), E(text.path_words("path")), F.lit("\n"), F.substring("text", 1, 400)).alias("chunk_text"))
-
-
 @query(f"SELECT path, 'file: ' || trim(regexp_replace(path, '[^A-Za-z0-9]+', ' ', 'g')) || chr(10) || text AS chunk_text FROM {FILES}")
 def x36_whole_chunk_text(spark, sf_dir):
-    """x36_chunk_text cuts texts to 400 characters, as its SQL does; the reference doesn't."""
     return files(spark, sf_dir).select("path", F.concat(F.lit("file: "), E(text.path_words("path")), F.lit("\n"), "text").alias("chunk_text"))
 
 
@@ -436,16 +451,9 @@ def x41_globs(spark, sf_dir):
     return of_paths(spark).join(globs, F.expr("path rlike p")).select("rule", "path")
 
 
-@query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings")
-def x40_dot_product(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    probe = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("probe")))
-    return e.join(probe, F.lit(True)).select("vec_id", F.round(E(text.dot("embedding", "probe")), 6).alias("score"))
-
-
 @query("SELECT a.vec_id AS qid, b.vec_id AS vec_id, round(list_inner_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0")
 def x40_dot_products(spark, sf_dir):
-    """For every fiftieth vector; x40_dot_product has the one of its SQL."""
+    """For every fiftieth vector."""
     e = table(spark, sf_dir, "embeddings")
     probes = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("probe"))
     return vector.in_blocks(probes, lambda q: e.join(F.broadcast(q), F.lit(True)).select("qid", "vec_id", F.round(E(text.dot("embedding", "probe")), 6).alias("score")))
@@ -464,11 +472,6 @@ def x43_answer_parse(spark, sf_dir):
     return answer_ranges(made(spark, ANSWERS, "id int, answer string"), "answer").select("id", "path", "s", "e")
 
 
-@query(f"SELECT path, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10))[1:200] AS snippet FROM {FILES}")
-def x46_snippets(spark, sf_dir):
-    return files(spark, sf_dir).select("path", E("substring(array_join(slice(split(text, '\\n'), 2, 3), '\\n'), 1, 200)").alias("snippet"))
-
-
 SNIPPET_RANGES = [(1, 14), (2, 4), (15, 2147483647)]
 
 
@@ -476,7 +479,7 @@ SNIPPET_RANGES = [(1, 14), (2, 4), (15, 2147483647)]
 SELECT path, s, CAST(least(e, len(ls)) AS INTEGER) AS e, array_to_string(list_slice(ls, s, least(e, len(ls))), chr(10)) AS snippet
 FROM (SELECT path, regexp_split_to_array(text, '\\r?\\n') AS ls FROM {FILES}), {values(SNIPPET_RANGES, 's int, e int', 'r')} WHERE s <= len(ls)""")
 def x46_whole_ranges(spark, sf_dir):
-    """Every requested range that starts inside the file, whole; x46_snippets cuts lines 2-4 to 200 characters, as its SQL does."""
+    """Every requested range that starts inside the file, whole."""
     both = files(spark, sf_dir).select("path", F.split("text", "\r?\n").alias("ls")).join(F.broadcast(made(spark, SNIPPET_RANGES, "s int, e int")), E("s <= size(ls)"))
     return both.select("path", "s", E("least(e, size(ls))").alias("e"), E("array_join(slice(ls, s, least(e, size(ls)) - s + 1), '\n')").alias("snippet"))
 

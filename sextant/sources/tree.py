@@ -48,7 +48,31 @@ def ignored(files: DataFrame, rules: list[tuple[str, int, str]]) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(rows, "dir string, seq int, pattern string, negated boolean"))
     local = "if(dir = '', path, substring(path, length(dir) + 2))"
     hit = files.join(table, F.expr(f"(dir = '' or startswith(path, concat(dir, '/'))) and {local} rlike pattern"), "left")
-    return hit.groupBy(*files.columns).agg(F.coalesce(F.max_by(~F.col("negated"), F.length("dir") * 1000 + F.col("seq")), F.lit(False)).alias("ignored"))
+    return hit.groupBy(*files.columns).agg(F.coalesce(F.max_by(~F.col("negated"), F.struct(F.length("dir"), "seq")), F.lit(False)).alias("ignored"))
+
+
+def is_hard_excluded(path: str, more: tuple[str, ...] = ()) -> str:
+    """Whether a path is left out whatever the ignore files say."""
+    patterns = "|".join(f"(?:{text.ignore_pattern(rule)[0]})" for rule in (*fixed.HARD_EXCLUDES, *more))
+    return text.has(path, patterns)
+
+
+def discovered(files: DataFrame, names: list[str] = fixed.IGNORE_FILES, most: int = 10_000) -> list[tuple[str, int, str]]:
+    """The rules (folder, sequence, line) of a tree's ignore files, for `ignored`. A tree with more than `most` lines of rules is refused, as
+    they are broadcast."""
+    own = files.where(F.substring_index("path", "/", -1).isin(names))
+    line = own.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.substring_index("path", "/", -1).alias("name"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("n", "line"))
+    rows = line.where("trim(line) <> '' and not startswith(line, '#')").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} lines of ignore rules")
+    rows.sort(key=lambda r: (r.dir, names.index(r.name), r.n))
+    return [(r.dir, seq, r.line.strip()) for seq, r in enumerate(rows, 1)]
+
+
+def with_ignored(files: DataFrame) -> DataFrame:
+    """files with `ignored`, by the hard excludes and by the ignore files that are among them."""
+    kept = ignored(files, discovered(files))
+    return kept.withColumn("ignored", F.expr(is_hard_excluded("path")) | F.col("ignored"))
 
 
 def signature(files: DataFrame, by: str) -> DataFrame:
