@@ -49,10 +49,11 @@ def with_path_terms(terms: DataFrame, files: DataFrame, keys: list[str], path: s
     return terms.unionByName(own).groupBy(*keys, "term").agg(F.least(F.sum("tf"), F.lit(255)).cast("long").alias("tf"))
 
 
-def bm25(terms: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+def bm25(terms: DataFrame, wanted: DataFrame, keys: list[str], sized: DataFrame | None = None) -> DataFrame:
     """(qid, keys, score, matched) for terms (keys, term, tf) and wanted (qid, term). Chunk lengths, their mean and the number of chunks are
-    taken over all chunks; only postings of wanted terms go further."""
-    sized = terms.groupBy(*keys).agg(F.sum("tf").alias("len"))
+    taken over all chunks, from `sized` (keys, len) if an index has them; only postings of wanted terms go further."""
+    if sized is None:
+        sized = terms.groupBy(*keys).agg(F.sum("tf").alias("len"))
     whole = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     hit = terms.join(wanted.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
@@ -80,11 +81,11 @@ def fuzzy_pairs(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return both.withColumn("sim", E(text.similarity("q", "v", "shared", "nq", "nv"))).where("sim > 0").select("q", "v", "sim")
 
 
-def subword(terms: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """(qid, keys, score): the mean over a query's words of the best similarity among the chunk's terms."""
+def subword(terms: DataFrame, wanted: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:
+    """(qid, keys, score): the mean over a query's words of the best similarity among the chunk's terms. `known`: the vocabulary, if an index has it."""
     words = wanted.where("term rlike '^[a-z0-9_$]{4,}$'")
     n = words.groupBy("qid").agg(F.count("*").alias("n"))
-    pairs = fuzzy_pairs(words.select(F.col("term").alias("q")).distinct(), vocabulary(terms).withColumnRenamed("term", "v"))
+    pairs = fuzzy_pairs(words.select(F.col("term").alias("q")).distinct(), (vocabulary(terms) if known is None else known).withColumnRenamed("term", "v"))
     hits = terms.join(pairs, terms["term"] == pairs["v"]).groupBy(*keys, "q").agg(F.max("sim").alias("sim"))
     return hits.join(words.withColumnRenamed("term", "q"), "q").groupBy("qid", *keys).agg(F.sum("sim").alias("total")).join(F.broadcast(n), "qid").select("qid", *keys, (F.col("total") / F.col("n")).alias("score"))
 

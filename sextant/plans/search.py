@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import fusion, lexical, policy
+from .index import Index
 
 E = F.expr
 
@@ -37,32 +38,37 @@ def wanted_terms(queries: DataFrame, stop=fixed.STOP_WORDS, most: int = 64) -> D
     return queries.select("qid", F.explode(E(text.query_terms("q", stop, most))).alias("term"))
 
 
-def hybrid(files: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:
-    """(qid, path, chunk, start_line, end_line, bm25_score, subword_score, path_score, fusion, coverage, score): chunks that any source ranks."""
+def hybrid(files: DataFrame, queries: DataFrame, options: Options = Options(), index: Index | None = None) -> DataFrame:
+    """(qid, path, chunk, start_line, end_line, bm25_score, subword_score, path_score, fusion, coverage, score): chunks that any source ranks. With
+    a stored index of these files nothing is chunked or tokenised again."""
     keys = ["path", "chunk"]
     if options.exclude:
         patterns = "|".join(text.glob_pattern(g) for g in options.exclude)
         files = files.where(~E(text.has("path", patterns)))
-    cut = lexical.chunks(files, options.chunk_lines, options.chunk_overlap)
-    terms = lexical.postings(cut, keys)
+    if index and not options.exclude:
+        cut, terms, sized, known = index.chunks, index.postings, index.lengths, index.vocabulary
+    else:
+        cut, sized, known = lexical.chunks(files, options.chunk_lines, options.chunk_overlap), None, None
+        terms = lexical.postings(cut, keys)
     wanted = wanted_terms(queries)
     totals = wanted.groupBy("qid").agg(F.count("*").alias("total"))
     by_path = lexical.path_scores(files, wanted)
     sources = {
-        "bm25": lexical.bm25(terms, wanted, keys).select("qid", *keys, "score"),
-        "subword": lexical.subword(terms, wanted, keys),
+        "bm25": lexical.bm25(terms, wanted, keys, sized).select("qid", *keys, "score"),
+        "subword": lexical.subword(terms, wanted, keys, known),
         "path": by_path.join(cut.select(*keys), "path").select("qid", *keys, "score"),
     }
     fused = lexical.fuse(sources, keys, options.ranking_limit)
     in_terms = terms.join(wanted, "term").select("qid", *keys, "term")
-    in_path = cut.select(*keys).join(wanted, E("contains(lower(path), term)")).select("qid", *keys, "term")
+    on_path = files.select("path").join(wanted, E("contains(lower(path), term)"))
+    in_path = cut.select(*keys).join(on_path, "path").select("qid", *keys, "term")
     matched = in_terms.union(in_path).distinct().groupBy("qid", *keys).agg(F.count("*").alias("hits"))
     return lexical.scored(fused, matched, totals, keys).join(cut.select(*keys, "start_line", "end_line"), keys)
 
 
-def hybrid_files(files: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:
+def hybrid_files(files: DataFrame, queries: DataFrame, options: Options = Options(), index: Index | None = None) -> DataFrame:
     """(qid, path, score, coverage, hits, ranges)."""
-    return lexical.collapse(hybrid(files, queries, options))
+    return lexical.collapse(hybrid(files, queries, options, index))
 
 
 def search(queries: DataFrame, radars: dict[str, DataFrame], options: Options = Options()) -> DataFrame:

@@ -2,15 +2,15 @@
 
 NOT_APPLICABLE = {
     "S8": "reads of an embedded database: Spark tables take its place",
-    "S9": "index files with a backup: streaming.sync.replace_table and read_table, tested without SQL",
+    "S9": "plans.index.opened (version, chunking) over streaming.sync.read_table (backup), tested without SQL",
     "S11": "model files: operators.vector.embedder takes vocabulary and matrix as parameters",
-    "K1": "streaming.sync.replace_table", "K2": "as K1, for four tables", "K4": "as K1",
+    "K1": "plans.index.build: chunks, postings, lengths, each swapped in", "K2": "plans.index.build: files, symbols, imports, calls, edges, meta", "K4": "plans.index.build: vectors",
     "K5": "texts for terminals: output.hint_lines formats rows, the DataFrame is the interface",
     "R3": "streaming.sync.spaced, tested as a stream", "R8": "Spark's cache policy; streaming.sync.Watchers bounds resident streams",
-    "X52": "transport", "Z8": "a metadata row is part of a table's rewrite", "Z9": "wrappers of rankers: exceptions are Spark's",
+    "X52": "transport", "Z8": "the meta table of plans.index, written last", "Z9": "wrappers of rankers: exceptions are Spark's",
     "Z15": "StreamingQuery.status through Watchers.status", "Z16": "streaming.sync.Watchers", "Z17": "no embedded database",
-    "Z18": "texts for terminals", "Z21": "remote loop", "Z22": "plans.search.Options", "Q6": "operators.vector: split_units, embedder, search, collapse",
-    "Q9": "Spark's cache", "Q12": "transport",
+    "Z18": "texts for terminals", "Z21": "remote loop", "Z22": "plans.search.Options", "Q6": "plans.index.build with an embedder; operators.vector: split_units, embedder, search, collapse",
+    "Q9": "plans.index: stored postings, lengths, vocabulary; searches take them", "Q12": "transport",
 }
 
 #: Row -> the query that computes it.

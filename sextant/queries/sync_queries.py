@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ def r1_event_stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"events_{uuid.uuid4().hex}"
     counted = stream.groupBy(F.col("user_id").alias("project"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    base = sync.shared_folder(spark)
     counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 

@@ -6,6 +6,7 @@ query, so a lost executor costs a replay of its batch.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,6 +74,17 @@ def upsert(index: DataFrame, fresh: DataFrame, todo: DataFrame) -> DataFrame:
     return index.join(gone, "path", "left_anti").unionByName(new)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a folder of this machine only where all runs on it (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sextant-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Writes df beside an index directory and swaps it in; the former one stays as .bak until the next swap."""
     spark = df.sparkSession
