@@ -12,10 +12,14 @@ entries of the matrix times its transpose, and only entries that can reach the s
 
 A column that many rows share would make the square of them. So each column first links its rows to one hub (the
 row that has the fewest rarer columns); then only pairs from different components are multiplied, and of a
-column's rows only those outside its hub's component against the others. Pairs inside a component need no check, as
+column's rows only those outside its hub's component against the others. Pairs inside a component need no check for that, as
 they change nothing: components come out exact. No step gathers a column's rows in one task: counts and hubs are partial
 aggregates, and the joins are such as Spark splits by skew.
 
+The number of links then comes from the product inside each component. Its rows are dealt into bands of size (a link spans two
+neighbouring bands at most) and, in a band, into blocks of bounded rows and n-grams; a task multiplies two blocks, columns by
+columns, discards pairs that fall below their bounds, and gives a number for each row, never the pairs. A link counts the copies of the other text.
+
 Words are runs of non-space after lower-casing A-Z. A document with fewer words than n has its whole sequence as one n-gram; one
 without words has an empty set and links with nothing. Null texts count as empty; texts of any length are whole; an empty table gives no rows. Rows that
 repeat a doc_id are rows of their own; ties don't matter to components; extra columns aren't looked at. Null ids take part and get the least id
@@ -25,6 +29,7 @@ hashes and their sizes.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -42,6 +47,8 @@ SLOTS, CHUNKS, MOST_BITS = 1 << 21, 64, 1 << 27
 #: Rows of a column in one task, beyond twice the mean count of the sketch's slots.
 HOT = 4096
 BLOCKS = 4
+#: Rows and n-grams of a block in the product inside a component, and columns that are multiplied at once.
+BLOCK_ROWS, BLOCK_GRAMS, COLUMNS = 1024, 1 << 18, 4096
 PARITY = 8
 PARITY_BITS = 9
 
@@ -181,10 +188,43 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return got >= need
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the staged distinct pairs (a, b) of set keys that are similar."""
-    spark = pairs.sparkSession
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def linked(x: list[np.ndarray], y: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """A matrix: which sets of x link with which of y. Overlap counts accumulate over blocks of columns; a pair whose count and remaining
+    columns don't reach its bound is discarded, and with its last pair a row."""
+    sizes = [np.array([len(g) for g in part], np.int64) for part in (x, y)]
+    need = -(-num * np.add.outer(*sizes) // (num + den))
+    alive = np.minimum.outer(*sizes) >= need
+    counts = np.zeros(alive.shape, np.int64)
+    columns = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    sides = []
+    for part, n in zip((x, y), sizes, strict=True):
+        grams, row = np.concatenate(part), np.repeat(np.arange(len(part)), n)
+        at = np.searchsorted(columns, grams)
+        shared = at < len(columns)
+        shared[shared] = columns[at[shared]] == grams[shared]
+        at, row = at[shared], row[shared]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], row[order], np.bincount(row, minlength=len(part))))
+    left = [rest for _, _, rest in sides]
+    for start in range(0, len(columns) + 1, COLUMNS):
+        alive &= counts + np.minimum.outer(*left) >= need
+        rows = [np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))]
+        if not len(rows[0]) or start >= len(columns):
+            break
+        dense = []
+        for s, (at, row, _) in enumerate(sides):
+            a, b = np.searchsorted(at, [start, start + COLUMNS])
+            block = np.zeros((len(left[s]), min(COLUMNS, len(columns) - start)), np.float32)
+            block[row[a:b], at[a:b] - start] = 1
+            left[s] = left[s] - np.bincount(row[a:b], minlength=len(left[s]))
+            dense.append(block[rows[s]])
+        counts[np.ix_(*rows)] += np.rint(dense[0] @ dense[1].T).astype(np.int64)
+    return alive & (counts >= need)
+
+
+def _words(asked: DataFrame, docs: DataFrame, measured: DataFrame, n: int) -> DataFrame:
+    """Staged (key, words) of the distinct set keys asked for: their words, compressed. Only documents that a filter holds are shuffled."""
+    spark = asked.sparkSession
     holders = measured.where("key is not null").join(asked, "key").groupBy("key").agg(F.min(F.coalesce("id", F.lit(0))).alias("id")).select("id")
     holders = staged(holders, "ngram-holders")
     bits = min(MOST_BITS, max(1 << 12, 1 << (int(holders.count()) * 16).bit_length()))
@@ -205,6 +245,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, n: int, nu
 
     held = docs.mapInArrow(texts, "key long, words binary").join(asked, "key", "left_semi")
     held = staged(held.groupBy("key").agg(F.first("words").alias("words")), "ngram-words")
+    dropped(holders)
+    return held
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of the staged distinct pairs (a, b) of set keys that are similar."""
+    held = _words(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, measured, n)
     wide = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def check(batches):
@@ -223,10 +270,51 @@ def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, n: int, nu
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     links = staged(wide.mapInArrow(check, "a long, b long"), "ngram-links")
-    dropped(holders, held)
+    dropped(held)
     return links
 
 
+def _link_numbers(docs: DataFrame, sets: DataFrame, found: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Staged (key, links) of the sets in found (key, root): how many documents hold another set that links with it."""
+    width = max(math.log(den / num), 1e-6) * (1 + 1e-6)  # a little more, as logarithms are rounded
+    own = sets.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("n").alias("n"))
+    placed = staged(found.join(own, "key").withColumn("band", F.expr(f"cast(floor(ln(n) / {width!r}D) as int)")), "ngram-bands")
+    bands = placed.groupBy("root", "band").agg(F.count("*").alias("k"), F.sum("n").alias("grams"))
+    bands = bands.withColumn("parts", F.expr(f"cast(ceil(greatest(k / {BLOCK_ROWS}, grams / {BLOCK_GRAMS})) as int)"))
+    bands = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("parts", "k")))).alias("bands"))  # some hundred at most
+    dealt = placed.join(bands, "root").withColumn("part", F.expr("cast(pmod(xxhash64(key), bands[band].parts) as int)"))
+    cell = "named_struct('low', {}, 'i', {}, 'step', {}, 'j', {})"
+    same = f"if(bands[band].k > 1, transform(sequence(0, bands[band].parts - 1), j -> {cell.format('band', 'least(part, j)', 0, 'greatest(part, j)')}), array())"
+    above = f"if(bands[band + 1] is not null, transform(sequence(0, bands[band + 1].parts - 1), j -> {cell.format('band', 'part', 1, 'j')}), array())"
+    below = f"if(bands[band - 1] is not null, transform(sequence(0, bands[band - 1].parts - 1), j -> {cell.format('band - 1', 'j', 1, 'part')}), array())"
+    dealt = dealt.withColumn("cells", F.expr(f"concat({same}, {above}, {below})")).where("size(cells) > 0").select("key", "root", "copies", "band", "part", "cells")
+    words = _words(found.select("key"), docs, sets, n)
+    cells = dealt.join(words, "key").select("key", "root", "copies", "band", "part", F.explode("cells").alias("c"), "words").select("key", "root", "copies", "band", "part", "c.*", "words")
+
+    def count(cell):
+        unpack = zstandard.ZstdDecompressor()
+        low, i, step, j = (cell.column(name)[0].as_py() for name in ("low", "i", "step", "j"))
+        keys, copies, band, part = (cell.column(name).to_numpy() for name in ("key", "copies", "band", "part"))
+        grams = [ngrams(unpack.decompress(w), n) for w in cell.column("words").to_pylist()]
+        first = band == low if step else part == i
+        second = ~first if step or i != j else first
+        a, b = np.flatnonzero(first), np.flatnonzero(second)
+        links = np.zeros(len(keys), np.int64)
+        if len(a) and len(b):
+            hit = linked([grams[r] for r in a], [grams[r] for r in b], num, den)
+            if a is not b and not np.array_equal(a, b):
+                links[b] += hit.T @ copies[a]
+            else:
+                np.fill_diagonal(hit, False)
+            links[a] += hit @ copies[b]
+        return pa.table({"key": keys, "links": links}).filter(pa.array(links > 0))
+
+    numbers = cells.groupBy("root", "low", "i", "step", "j").applyInArrow(count, "key long, links long")
+    numbers = staged(numbers.groupBy("key").agg(F.sum("links").alias("links")), "ngram-numbers")
+    dropped(placed, words)
+    return numbers
+
+
 def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Staged (id, n, key) of all rows, and (key, root) of the sets that have links: root is the same for all sets of a component."""
     spark = docs.sparkSession
@@ -261,15 +349,19 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
 
 
 def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id): a row a document, with the least id that links of at least num/den reach."""
+    """(id_col, n_shingles, component_id, n_links): a row a document, with the least id that links of at least num/den reach and the
+    number of other documents that it links with, copies included."""
     sets, found = _classes(docs, n, num, den, id_col, text_col)
-    classes = sets.where("key is not null").groupBy("key").agg(F.min("id").alias("least"))
-    linked = staged(found.join(classes, "key"), "ngram-linked")
-    least = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "ngram-roots")
-    linked = linked.join(least, "root").select("key", "component_id")
-    classes = staged(classes.join(linked, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "ngram-classes")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    numbers = _link_numbers(narrow, sets, found, n, num, den)
+    classes = sets.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    members = staged(found.join(classes, "key"), "ngram-linked")
+    least = staged(members.groupBy("root").agg(F.min("least").alias("component_id")), "ngram-roots")
+    members = members.join(least, "root").join(numbers, "key", "left").select("key", "component_id", "links")
+    links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    classes = staged(classes.join(members, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"), links.alias("n_links")), "ngram-classes")
     out = sets.join(classes, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

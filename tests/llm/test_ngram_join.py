@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from sextant.llm import ngram_join
@@ -14,7 +15,7 @@ def brute(rows, n, num, den):
     for _, t in rows:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
-    up = list(range(len(rows)))
+    up, links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while up[i] != i:
@@ -26,10 +27,12 @@ def brute(rows, n, num, den):
             b = sets[j]
             if a and b and den * len(a & b) >= num * len(a | b):
                 up[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     out = []
     for i, (d, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
-        out.append((d, len(sets[i]), min(ids) if ids else None))
+        out.append((d, len(sets[i]), min(ids) if ids else None, links[i]))
     return sorted(out, key=str)
 
 
@@ -70,9 +73,21 @@ def test_empty_and_one_each(spark):
     assert sorted(r.doc_id for r in out.collect()) == [2, 9, 10, 11]
 
 
-def test_hot_columns(spark, monkeypatch):
-    """With tiny parts every common column is dealt out in several; the result is the same."""
-    monkeypatch.setattr(ngram_join, "HOT", 1)
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 2), (1, 1)])
+def test_product(monkeypatch, num, den):
+    """Blocks of columns give the same links as whole sets."""
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    r = random.Random(num)
+    sets = [np.unique(np.array(r.sample(range(60), r.choice([1, 5, 30, 50])), np.uint64)) for _ in range(40)]
+    sets += [np.unique(np.concatenate([s[1:], np.array([99], np.uint64)])) for s in sets]
+    want = [[den * len(set(a) & set(b)) >= num * len(set(a) | set(b)) for b in sets[20:]] for a in sets]
+    assert ngram_join.linked(sets, sets[20:], num, den).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["HOT", "BLOCK_ROWS", "BLOCK_GRAMS"])
+def test_small_parts(spark, monkeypatch, name):
+    """With tiny parts and blocks every common column and component is dealt out in several; the result is the same."""
+    monkeypatch.setattr(ngram_join, name, 1 if name == "HOT" else 3)
     rows = made(3)
     df = spark.createDataFrame([(*x, "c") for x in rows], SCHEMA).repartition(4)
     assert sorted((tuple(r) for r in ngram_join.similar_components(df).collect()), key=str) == brute(rows, 3, 90, 100)
