@@ -32,7 +32,7 @@ def test_stages(spark):
 
     assert {k: hashlib.sha256((v or "").encode()).hexdigest() for k, v in lines.items()} == {d: sha for d, _, _, sha in brute_lines(list(calm.items()))}
     found = brute_components(list(lines.items()), 5, 80, 100)
-    assert near == {d: lines[d] for d, n, c in found if d == c}
+    assert near == {d: lines[d] for d, n, c, _ in found if d == c}
     bench = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     assert set(clean) == {r[0] for r in brute_leaks(list(near.items()), bench) if not r[5]}
     sequences = defaultdict(int)
