@@ -10,9 +10,12 @@ many times the input; instead
    equal anchors at equal places. Anchors whose hash occurs once in all documents (most) are dropped by a filter of
    hashes seen twice, a Bloom filter of at most MOST_BITS bits.
 2. Consecutive windows with one anchor form a block. Blocks with equal bytes are repeated as a whole: one hash stands
-   for all their windows. They are counted by partial aggregates, so thousands of copies meet nowhere.
+   for all their windows. Each moves once, to its anchor's group, which is read in order with three rows in memory. A run of MEET rows sends
+   one of its equal blocks there and deals out the rest, so thousands of copies meet nowhere.
 3. Where blocks share an anchor but not all their bytes (at the edges of copies), one block of each kind is cut into parts of at most
-   STEP windows, which are compared likewise; of parts that still differ, one of each kind is spelled out window by window.
+   STEP windows, which are compared likewise. Only parts with one core (the bytes that all their windows have) can share a window; of those
+   that differ, one of each kind is spelled out window by window. Texts with such blocks are found by a filter; of more than
+   MOST_BITS / 32 blocks in several rounds, each over its own rows, so a larger table takes more rounds and not a fuller filter.
 
 `longest_previous_factor` builds the whole arrays for one text by prefix doubling, as a check and for single texts.
 
@@ -25,17 +28,19 @@ whatever their names, but those of its results give way; `spans` keeps none.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_bytes, bit_filter, dropped, fresh, held_by, mixed, pieces, seen_twice, staged
 
-LEAST, GRAM, STEP, MOST_BITS, CHUNK, PIECE = 200, 40, 16, 1 << 28, 1 << 18, 1 << 20
+LEAST, GRAM, STEP, MOST_BITS, CHUNK, PIECE, MEET = 200, 40, 16, 1 << 28, 1 << 18, 1 << 20, 1 << 17
 
 
 @lru_cache(maxsize=1)
@@ -97,14 +102,17 @@ class Windows:
         return mixed(mixed(self.hashed(s, s + n - 1 + self.least)) + shape).view(np.int64)
 
     def split(self, b: np.ndarray, unit: int) -> dict[str, np.ndarray]:
-        """Blocks b cut where the anchor's distance passes a multiple of unit, so that equal parts of different blocks are cut alike."""
+        """Blocks b cut where the anchor's distance passes a multiple of unit, so that equal parts of different blocks are cut alike. A part's group
+        tells its core, the bytes that all windows with an anchor at such a distance have: parts of different cores share no window."""
         n = self.n[b]
         block = np.repeat(b, n)
         p = self.s[block] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         step = (self.anchor[block] - p) // unit
         i = np.flatnonzero(np.concatenate([[True], (step[1:] != step[:-1]) | (block[1:] != block[:-1])])) if len(p) else np.zeros(0, np.int64)
         n, block, p = np.diff(np.concatenate([i, [len(p)]])), block[i], p[i]
-        group = mixed(self.gram[block].view(np.uint64) + step[i].astype(np.uint64)).view(np.int64)
+        step = step[i]
+        core = self.anchor[block] - step * unit
+        group = mixed(mixed(self.hashed(core, core + self.least - unit + 1)) + self.gram[block].view(np.uint64) + step.astype(np.uint64)).view(np.int64)
         return {"g": group, "c": self.shaped(p, n, self.anchor[block]), "part": self.part[block], "at": self.at[block] + p - self.s[block], "n": n, "block": block}
 
 
@@ -167,92 +175,146 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False, id_col:
                     row = pa.array(rows[w.part[b]])
                     yield pa.RecordBatch.from_arrays([pa.array(w.gram[b]), pa.array(w.block[b]), ids.take(row), hashes.take(row), pa.array((w.at[b] + starts[w.part[b]])), pa.array(w.n[b].astype(np.int32))], names=["g", "c", "id", "x", "s", "n"])
 
-    whole = ~F.struct("id", "x", "s").eqNullSafe(F.struct("first.id", "first.x", "first.s")) if keep_first else F.lit(True)
-
-    def repeated(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Of staged rows (g, c, id, x, s, n): those whose class c has others, and the first of each class of groups g with several."""
-        classes = kept(found.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")), f"{name}-classes")
-        several = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g")
-        probes = kept(classes.join(several, "g").select("first.id", "first.x", "first.s"), f"{name}-probes")
-        copies = found.join(classes.where("k > 1").select("g", "c", "first"), ["g", "c"]).where(whole)
-        return copies.select("id", "x", "s", "n"), probes
+    def condensed(batches):
+        """Rows by runs of MEET, with `kind`: 0, or of a class that the run has several of, 1 for the one that meets other runs' rows and
+        2 for its copies (1 isn't one itself with keep_first). So thousands of copies don't go to one task."""
+        held, n = [], 0
+        for x in chain(batches, [None]):
+            if x is not None:
+                held.append(x)
+                n += x.num_rows
+            if n and (x is None or n >= MEET):
+                t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+                t = t.take(pa.array(_order(t, keep_first)))
+                _, new, copy = _met(t, keep_first)
+                kind = np.where(copy, np.where(new, 1, 2), 0).astype(np.int32)
+                t = pa.RecordBatch.from_arrays([*t.columns, pa.array(kind)], names=[*t.schema.names, "kind"])
+                yield t.filter(pa.array(new | copy)) if keep_first else t  # a row's copies are at the first one's place
+
+    def met(batches):
+        """Of rows sorted by g and c: the copies, and one row of each class of groups g with several classes. Only the first of the last group, the
+        first of the last class and the last row are carried on; what that says twice, it says rightly."""
+        carried = None
+        for x in batches:
+            if not x.num_rows:
+                continue
+            t = x if carried is None else pa.Table.from_batches([carried, x]).combine_chunks().to_batches()[0]
+            group, new, copy = _met(t, keep_first)
+            copy = copy | (t.column(6).to_numpy() > (1 if keep_first else 0))
+            place = np.arange(t.num_rows)
+            begin, later = np.maximum.accumulate(np.where(group, place, 0)), new & ~group
+            probe = later.copy()
+            probe[begin[later]] = True
+            out = pa.RecordBatch.from_arrays([*t.columns[2:6], pa.array(copy), pa.array(probe)], names=["id", "x", "s", "n", "copy", "probe"])
+            yield out.filter(pa.array(copy | probe))
+            carried = t.take(pa.array(np.unique([begin[-1], np.flatnonzero(new)[-1], place[-1]])))
+
+    def repeated(found: DataFrame, by: str) -> DataFrame:
+        """Of condensed rows, which all move once: (id, x, s, n, copy, probe)."""
+        dealt = found.repartition(F.when(F.col("kind") == 2, F.xxhash64("id", "x", "s")).otherwise(F.col(by)))
+        order = ["g", "c", "id", "x", "s"] if keep_first else ["g", "c"]
+        return dealt.sortWithinPartitions(*order).mapInArrow(met, "id long, x long, s long, n int, copy boolean, probe boolean")
 
     def keys(batches):
         for x in batches:
             ids, hashes = _ids(x.column(0)), x.column(1).to_numpy()
             yield np.concatenate([_keys(ids, hashes, x.column(2).to_numpy()), _keys(ids, hashes, np.int64(-1))])
 
-    def asking(probes: DataFrame):
-        """A filter of the probes' places and of their rows."""
-        bits = min(MOST_BITS, max(1 << 14, 1 << (32 * probes.count()).bit_length()))
-        return spark.sparkContext.broadcast(bit_filter(probes, bits, keys))
-
-    def asked(batches, first, second=None):
-        """(batch, Windows, rows, starts, blocks asked for) of the rows asked for; what the filters hold beyond that is as real."""
-        flags = np.frombuffer((second or first).value, np.uint8)
-        inner = np.frombuffer(first.value, np.uint8)
+    def searched(probes: DataFrame, produce, name: str) -> DataFrame:
+        """produce(batches, flags) over the rows of docs that probes name; flags: a filter of their places and rows, 32 bits for each
+        probe. As many as MOST_BITS bits hold are searched at once, by rows of docs, so a row is read into windows in one of the rounds only."""
+        rounds = max(1, -(-32 * probes.count() // MOST_BITS))
+        tables = []
+        for k in range(rounds):
+            some, own_docs = ((df.where(F.pmod(F.xxhash64("id", "x"), F.lit(rounds)) == k) if rounds > 1 else df) for df in (probes, narrow))
+            room = min(MOST_BITS, max(1 << 14, 1 << (32 * probes.count() // rounds).bit_length()))
+            flags = spark.sparkContext.broadcast(bit_filter(some, room, keys))
+
+            def run(batches, flags=flags):
+                return condensed(produce(batches, np.frombuffer(flags.value, np.uint8)))
+
+            tables.append(own_docs.mapInArrow(run, schema))
+            if rounds > 1:
+                tables[-1] = kept(tables[-1], f"{name}-{k}")
+                flags.unpersist()
+        return reduce(DataFrame.union, tables)
+
+    def asked(batches, flags):
+        """(batch, ids, hashes, Windows, rows, starts) of the rows asked for; what the filter holds beyond that is as real."""
         for x in pieces(batches, 2, PIECE):
             ids, hashes = _ids(x.column(0)), x.column(1).to_numpy()
             chosen = np.flatnonzero(held_by(flags, _keys(ids, hashes, np.int64(-1))))
             texts = as_bytes(x.column(2).take(pa.array(chosen)))
             for w, rows, starts in _runs(texts, least, gram):
-                rows = chosen[rows]
-                row = rows[w.part]
-                b = np.flatnonzero(held_by(inner, _keys(ids[row], hashes[row], w.at + starts[w.part]))) if len(row) else row
-                if len(b):
-                    yield x, ids, hashes, w, rows, starts, b
-
-    def batch_of(x, rows, starts, cut, good):
-        own = pa.array(rows[cut["part"][good]])
-        at = (cut["at"] + starts[cut["part"]])[good]
-        return pa.RecordBatch.from_arrays([pa.array(cut["g"][good]), pa.array(cut["c"][good]), x.column(0).take(own), x.column(1).take(own), pa.array(at), pa.array(cut["n"][good].astype(np.int32))], names=["g", "c", "id", "x", "s", "n"])
+                if len(w.s):
+                    yield x, ids, hashes, w, chosen[rows], starts
+
+    def batch_of(x, rows, starts, cut):
+        own = pa.array(rows[cut["part"]])
+        at = cut["at"] + starts[cut["part"]]
+        return pa.RecordBatch.from_arrays([pa.array(cut["g"]), pa.array(cut["c"]), x.column(0).take(own), x.column(1).take(own), pa.array(at), pa.array(cut["n"].astype(np.int32))], names=["g", "c", "id", "x", "s", "n"])
+
+    def parts(batches, flags):
+        """The blocks asked for, cut."""
+        for x, ids, hashes, w, rows, starts in asked(batches, flags):
+            row = rows[w.part]
+            b = np.flatnonzero(held_by(flags, _keys(ids[row], hashes[row], w.at + starts[w.part])))
+            if len(b):
+                yield batch_of(x, rows, starts, w.split(b, step))
+
+    def windows(batches, flags):
+        """The single windows of the parts asked for."""
+        for x, ids, hashes, w, rows, starts in asked(batches, flags):
+            cut = w.split(np.arange(len(w.s)), step)
+            row = rows[cut["part"]]
+            good = np.flatnonzero(held_by(flags, _keys(ids[row], hashes[row], cut["at"] + starts[cut["part"]])))
+            if len(good):
+                n = cut["n"][good]
+                i = np.repeat(good, n)
+                at = cut["at"][i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                block = cut["block"][i]
+                s = at + (w.s - w.at)[block]
+                h = mixed(w.hashed(s, s + least)).view(np.int64)
+                yield batch_of(x, rows, starts, {"g": w.gram[block], "c": h, "part": cut["part"][i], "at": at, "n": np.ones(len(i), np.int64)})
 
-    schema = "g long, c long, id long, x long, s long, n int"
-    found = kept(narrow.mapInArrow(blocks, schema), "blocks")
+    schema = "g long, c long, id long, x long, s long, n int, kind int"
+    step = max(1, min(STEP, least // 8))
+    whole = kept(repeated(narrow.mapInArrow(lambda batches: condensed(blocks(batches)), schema), "g"), "blocks")
     twice.unpersist()
-    copies, probes = repeated(found, "block")
-    first = asking(probes)
+    cut = kept(repeated(searched(whole.where("probe"), parts, "block-parts"), "g"), "parts")
+    single = repeated(searched(cut.where("probe"), windows, "part-windows"), "c")
+    every = whole.union(cut).union(single).where("copy")
+    return every.groupBy("id", "x").agg(F.collect_set(F.struct("s", "n")).alias("spans"))  # copies of a row have the same spans: a group is one text's
 
-    def parts(batches):
-        for x, _, _, w, rows, starts, b in asked(batches, first):
-            cut = w.split(b, step)
-            yield batch_of(x, rows, starts, cut, slice(None))
 
-    step = max(1, min(STEP, least // 8))
-    more, probes = repeated(kept(narrow.mapInArrow(parts, schema), "parts"), "part")
-    second = asking(probes)
-
-    def spelled(twice=None):
-        """The single windows of the parts asked for: hashes alone, or those seen twice with their places."""
-
-        def run(batches):
-            flags, seen = np.frombuffer(second.value, np.uint8), None if twice is None else np.frombuffer(twice.value, np.uint8)
-            for x, ids, hashes, w, rows, starts, b in asked(batches, first, second):
-                cut = w.split(b, step)
-                row = rows[cut["part"]]
-                good = held_by(flags, _keys(ids[row], hashes[row], cut["at"] + starts[cut["part"]]))
-                p = np.repeat(cut["at"][good], cut["n"][good]) + np.arange(cut["n"][good].sum()) - np.repeat(np.cumsum(cut["n"][good]) - cut["n"][good], cut["n"][good])
-                part = np.repeat(cut["part"][good], cut["n"][good])
-                s = p + (w.s - w.at)[np.repeat(cut["block"][good], cut["n"][good])]
-                h = mixed(w.hashed(s, s + least)).view(np.int64)
-                if seen is None:
-                    yield h
-                else:
-                    yield batch_of(x, rows, starts, {"g": w.gram[np.repeat(cut["block"][good], cut["n"][good])], "c": h, "part": part, "at": p, "n": np.ones(len(p), np.int64)}, held_by(seen, h))
-
-        return run
-
-    bits = min(MOST_BITS, max(1 << 16, 1 << int(16 * probes.count() * step // 2).bit_length()))
-    again = spark.sparkContext.broadcast(seen_twice(narrow, spelled(), bits))
-    windows = kept(narrow.mapInArrow(spelled(again), schema).select("g", "c", "id", "x", "s"), "windows")
-    runs = windows.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "x", "s")).alias("first")).where("k > 1")
-    hits = windows.join(runs, ["g", "c"]).where(whole)
-    every = copies.union(more).union(hits.select("id", "x", "s", F.lit(1).alias("n")))
-    return every.groupBy("id", "x").agg(F.collect_set(F.struct("s", "n")).alias("spans"))  # copies of a row have the same spans: a group is one text's
+def _order(t: pa.RecordBatch, places: bool) -> np.ndarray:
+    """The order of rows (g, c, id, x, s, ...) by g and c, then place."""
+    g, c = t.column(0).to_numpy(), t.column(1).to_numpy()
+    if not places:
+        return np.lexsort((c, g))
+    valid = np.asarray(t.column(2).is_valid())
+    return np.lexsort((t.column(4).to_numpy(), t.column(3).to_numpy(), _ids(t.column(2)), valid, c, g))
+
+
+def _met(t: pa.RecordBatch, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (g, c, id, x, s, ...) in order: which begin a group g, which a class (g, c), and which are copies: of another row of their class, or with
+    keep_first of its first at another place."""
+
+    def differs(*columns):
+        return np.concatenate([[True], np.any([v[1:] != v[:-1] for v in columns], axis=0)])
+
+    g = t.column(0).to_numpy()
+    group = differs(g)
+    new = differs(g, t.column(1).to_numpy())
+    if not keep_first:
+        return group, new, ~new | np.concatenate([~new[1:], [False]])
+    moved = np.cumsum(~new & differs(np.asarray(t.column(2).is_valid()), _ids(t.column(2)), t.column(3).to_numpy(), t.column(4).to_numpy()))
+    return group, new, moved > moved[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]
 
 
 def _ids(column) -> np.ndarray:
-    return np.array([0 if i is None else i for i in column.to_pylist()], np.int64)
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def text_hash(text_col: str):

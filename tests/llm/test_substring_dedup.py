@@ -99,3 +99,54 @@ def test_clashing_names_and_null_ids(spark):
     assert [x for x in out.columns if x in names] == names and {x._id for x in out.collect()} == {"keep"}
     got = [tuple(x) for x in out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(got, key=str) == brute(rows, 200)
+
+
+def test_full_filters(spark, monkeypatch):
+    """Shared phrases shorter than a window: filters too small for the table hand on no more than some rows a document, in several rounds."""
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", 1 << 14)
+    r = random.Random(10)
+    say = lambda k: "".join(r.choices("abcdefghij ", k=k))
+    phrase, passage = say(150), say(260)
+    rows = [(i, say(150) + (passage if i % 60 == 0 else phrase) + say(150)) for i in range(240)]
+    counts, real = {}, substring_dedup.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "staged", counted)
+    df = spark.createDataFrame([(*x, "z") for x in rows], SCHEMA).repartition(3)
+    assert sorted((tuple(x) for x in substring_dedup.digest(df).collect()), key=str) == brute(rows, 200)
+    assert sum(counts.values()) < 25 * len(rows), counts
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_runs_and_batches(spark, monkeypatch, keep_first):
+    """Classes and groups that span runs of MEET rows, Arrow batches and rounds; repeated rows."""
+    monkeypatch.setattr(substring_dedup, "MEET", 40)
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", 1 << 14)
+    rows = list({d: (d, t) for d, t in made(11) if d is not None}.values())
+    if keep_first:
+        seen, want = set(), []
+        for d, t in sorted(rows):
+            b = (t or "").encode()
+            gone = [False] * len(b)
+            for i in range(len(b) - 199):
+                if b[i : i + 200] in seen:
+                    gone[i : i + 200] = [True] * 200
+                seen.add(b[i : i + 200])
+            want.append((d, sum(gone)))
+        rows += rows[:9]
+        want += [x for x in want if x[0] in {d for d, _ in rows[-9:]}]
+    else:
+        rows += rows[:9]
+        want = [(x[0], x[2]) for x in brute(rows, 200)]
+    df = spark.createDataFrame([(*x, "z") for x in rows], SCHEMA).repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = substring_dedup.remove_repeats(df, keep_first=keep_first).select("doc_id", "n_removed").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == sorted(want)
