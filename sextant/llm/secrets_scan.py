@@ -1,11 +1,10 @@
 """Secrets: Boolean trigram queries pick the documents for each rule, the rule's pattern verifies. JVM-side throughout.
 
 `derived` reads each rule's parsed pattern and finds the strings of which every match must hold one (as a code search does): runs of
-single characters, case apart, are joined, optional parts and alternatives multiply them, what has many forms ends them. Each string
-stands for the trigrams in it, so a rule's query is an OR of ANDs of trigrams. Of a string's trigrams the index keeps the KEPT rarest (by the
-letters in them): fewer conditions pass more documents to the pattern, never fewer.
+single characters, case apart, are joined, optional parts and alternatives multiply them, what has many forms ends them; strings that a
+match must hold one after another are all asked for. Each string stands for all trigrams in it, so a rule's query is an OR of ANDs of trigrams.
 
-The index is partitioned by document: a row holds, as bits of a number, which of the kept trigrams its lower-cased text has. The posting list of
+The index is partitioned by document: a row holds, as bits of a number, which trigrams of any query (63 at most) its lower-cased text has. The posting list of
 a trigram is the rows with its bit, intersecting lists is AND of bits, and no posting leaves its row's task, so a source or a token
 in a third of all rows makes no large group. `postings` gives the lists by trigram, for a store. Rules without a mandatory trigram scan fully.
 
@@ -35,30 +34,33 @@ RULES: dict[str, tuple[str, str]] = {
     "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "true"),
 }
 BASE = ("assign", "access", "hex")
-#: Trigrams kept of a string; forms that a string may have before it ends.
-KEPT, FORMS = 1, 16
-#: Letters from common to rare in English text; what isn't named is rarer.
-COMMON = " etaoinshrdlucmfwypvbgkqjxz"
+#: Forms that a string may have before it ends, and alternatives that a query may have.
+FORMS = 16
+#: Alternatives, in each the strings that are all needed.
+Needs = set[frozenset[str]] | None
 
 
 class Strings:
-    """What a part of a pattern says of its matches: all that it can match (`exact`, None if that is many), or that one of `needed` is in it."""
+    """What a part of a pattern says of its matches: all that it can match (`exact`, None if that is many), or what is `needed` in them."""
 
-    def __init__(self, exact: set[str] | None, needed: set[str] | None = None):
+    def __init__(self, exact: set[str] | None, needed: Needs = None):
         self.exact, self.needed = exact, needed
 
-    def needs(self) -> set[str] | None:
+    def needs(self) -> Needs:
         return self.needed if self.exact is None else useful(self.exact)
 
 
-def useful(found: set[str] | None) -> set[str] | None:
-    """The strings, if each has a trigram."""
-    return found if found and min(map(len, found)) >= 3 else None
+def useful(found: set[str]) -> Needs:
+    """One of the strings, if each has a trigram."""
+    return {frozenset([w]) for w in found} if found and min(map(len, found)) >= 3 else None
 
 
-def better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
-    """Of two conditions that both hold the one that says more: fewer strings, then longer ones."""
-    return min((x for x in (a, b) if x), key=lambda x: (len(x), -min(map(len, x))), default=None)
+def both(a: Needs, b: Needs) -> Needs:
+    """Two conditions that both hold; where that makes many alternatives the one that has fewer."""
+    if not a or not b:
+        return a or b
+    product = {x | y for x in a for y in b}
+    return product if len(product) <= FORMS else min(a, b, key=len)
 
 
 def described(part) -> Strings:
@@ -98,7 +100,7 @@ def described(part) -> Strings:
 
 
 def sequence(parts) -> Strings:
-    """Of parts one after another: neighbours with few forms are joined, the best condition of any run counts."""
+    """Of parts one after another: neighbours with few forms are joined, the conditions of all runs hold."""
     run: set[str] = {""}
     needed, whole = None, True
     for found in map(described, parts):
@@ -107,23 +109,21 @@ def sequence(parts) -> Strings:
             run = joined
             continue
         whole = False
-        needed = better(better(needed, useful(run)), found.needs())
-        run = found.exact if found.exact is not None else {""}
-    return Strings(run) if whole else Strings(None, better(needed, useful(run)))
+        needed = both(needed, useful(run))
+        if found.exact is None:
+            needed, run = both(needed, found.needed), {""}
+        else:
+            run = found.exact
+    return Strings(run) if whole else Strings(None, both(needed, useful(run)))
 
 
 def derived(pattern: str) -> list[list[str]]:
     """The Boolean trigram query of a pattern, an OR of ANDs of trigrams; [] (any document) if no trigram is mandatory."""
     found = sequence(parser.parse(pattern)).needs() or set()
-    return sorted(sorted({w[i : i + 3] for i in range(len(w) - 2)}) for w in found)
+    return sorted(sorted({w[i : i + 3] for w in words for i in range(len(w) - 2)}) for words in found)
 
 
-def rarest(trigrams: list[str]) -> list[str]:
-    rank = lambda t: (-sum(COMMON.index(c) if c in COMMON else len(COMMON) for c in t), t)
-    return sorted(trigrams, key=rank)[:KEPT]
-
-
-QUERIES = {rule: [rarest(ts) for ts in derived(pattern)] for rule, (pattern, _) in RULES.items()}
+QUERIES = {rule: derived(pattern) for rule, (pattern, _) in RULES.items()}
 TRIGRAMS = sorted({t for q in QUERIES.values() for ts in q for t in ts})
 BIT = {t: 1 << i for i, t in enumerate(TRIGRAMS)}
 

@@ -100,3 +100,25 @@ def test_table(spark, module, expected):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: hashlib.sha256(say(expected(r.text)).encode()).hexdigest() for r in docs.collect()}
     assert {r.doc_id: r.base_sha256 for r in module.digest(docs).collect()} == want
+
+
+def test_every_trigram_is_intersected(spark):
+    """A query asks for all trigrams of all strings that a match must hold: a row that lacks any of them is no candidate."""
+    assert secrets_scan.derived("abcd.*(efg|hij)x*") == [["abc", "bcd", "efg"], ["abc", "bcd", "hij"]]
+    assert secrets_scan.derived("-{3}BEG.+END") == [["beg", "end"]] and secrets_scan.derived("(abc.d)*ef") == []
+    assert all(secrets_scan.QUERIES[rule] == secrets_scan.derived(p) for rule, (p, _) in secrets_scan.RULES.items())
+    strings = {"access": ["akia"], "assign": ["password", "passwd", "secret", "token", "api_key", "apikey"], "github": [f"gh{c}_" for c in "opsur"], "private_key": ["-----BEGIN RSA PRIVATE KEY-----"]}
+    whole = [(rule, w) for rule, ws in strings.items() for w in ws]
+    less = [(rule, " ".join(q for q in ts if q != t)) for rule in strings for ts in secrets_scan.QUERIES[rule] for t in ts]
+    less = [(rule, text) for rule, text in less if not any(all(t in text for t in ts) for ts in secrets_scan.QUERIES[rule])]
+    assert len(less) > 40
+    df = spark.createDataFrame([(i, text, rule) for i, (rule, text) in enumerate(whole + less)], SCHEMA)
+    index = secrets_scan.indexed(df)
+    for rule in strings:
+        assert {r.doc_id for r in index.where(secrets_scan.candidate(rule)).where(f"spans = '{rule}'").collect()} == {i for i, (k, _) in enumerate(whole) if k == rule}
+
+
+def test_trigram_index_drops_single_trigrams(spark):
+    df = spark.createDataFrame([(1, "aki", ""), (2, "kia", ""), (3, "kia aki", ""), (4, "PRIVATE KEY-----", "")], SCHEMA)
+    index = secrets_scan.indexed(df)
+    assert {k: [r.doc_id for r in index.where(secrets_scan.candidate(k)).orderBy("doc_id").collect()] for k in ("access", "private_key")} == {"access": [3], "private_key": []}
