@@ -51,7 +51,7 @@ def build(files: DataFrame, root: str, chunk_lines: int, chunk_overlap: int, emb
     cut = lexical.chunks(sized, chunk_lines, chunk_overlap)
     put("files", sized.select("path", "size", F.expr(text.content_hash("path", "text")).alias("hash")))
     put("chunks", cut.select(*KEYS, "start_line", "end_line"))
-    put("postings", lexical.postings(cut, KEYS).sortWithinPartitions("term"))
+    put("postings", lexical.postings(cut, KEYS, unique=not lexical.repeated(sized)).sortWithinPartitions("term"))
     put("lengths", index.postings.groupBy(*KEYS).agg(F.sum("tf").alias("len")))
     put("vocabulary", lexical.vocabulary(index.postings))
     if structure:

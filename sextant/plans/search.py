@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import fusion, lexical, policy
+from ..streaming.sync import shared_folder
 from .index import Index
 
 E = F.expr
@@ -38,24 +40,47 @@ def wanted_terms(queries: DataFrame, stop=fixed.STOP_WORDS, most: int = 64) -> D
     return queries.select("qid", F.explode(E(text.query_terms("q", stop, most))).alias("term"))
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: what several branches of a plan need is made once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def evidence(files: DataFrame, wanted: DataFrame, chunk_lines: int, chunk_overlap: int, words: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What a batch of queries with terms (qid, term) needs of files (path, text): the chunks (path, chunk, start_line, end_line), and of each path
+    and number the length, the wanted terms with their counts and, with `words`, the best similarity of each wanted word. The texts
+    are read and tokenised once, and what is staged has some numbers for each chunk. The batch's terms go to all tasks."""
+    keys, spans = ["path", "chunk"], ("start_line", "end_line")
+    terms, near = lexical.listed(wanted, "term"), lexical.listed(lexical.words_of(wanted), "term") if words else ()
+    cut = lexical.chunks(files, chunk_lines, chunk_overlap)
+    if lexical.repeated(files):
+        return cut.select(*keys, *spans), staged(lexical.counted(cut, keys, wanted=terms, words=near), "evidence")
+    found = staged(lexical.counted(cut, keys, unique=True, wanted=terms, words=near, carried=spans), "evidence")
+    return found.select(*keys, *spans), found.drop(*spans)
+
+
 def hybrid(files: DataFrame, queries: DataFrame, options: Options = Options(), index: Index | None = None) -> DataFrame:
     """(qid, path, chunk, start_line, end_line, bm25_score, subword_score, path_score, fusion, coverage, score): chunks that any source ranks. With
-    a stored index of these files nothing is chunked or tokenised again."""
+    a stored index of these files nothing is chunked or tokenised again; without one, texts are tokenised once."""
     keys = ["path", "chunk"]
     if options.exclude:
         patterns = "|".join(text.glob_pattern(g) for g in options.exclude)
         files = files.where(~E(text.has("path", patterns)))
+    wanted = wanted_terms(queries)
     if index and not options.exclude:
         cut, terms, sized, known = index.chunks, index.postings, index.lengths, index.vocabulary
+        similar = lexical.subword(terms, wanted, keys, known)
     else:
-        cut, sized, known = lexical.chunks(files, options.chunk_lines, options.chunk_overlap), None, None
-        terms = lexical.postings(cut, keys)
-    wanted = wanted_terms(queries)
+        cut, found = evidence(files, wanted, options.chunk_lines, options.chunk_overlap)
+        terms, sized = found.select(*keys, "len", F.inline("terms")), found.select(*keys, "len").where("len > 0")
+        similar = lexical.mean_similarity(found.select(*keys, F.inline("near")), wanted, keys)
     totals = wanted.groupBy("qid").agg(F.count("*").alias("total"))
     by_path = lexical.path_scores(files, wanted)
     sources = {
         "bm25": lexical.bm25(terms, wanted, keys, sized).select("qid", *keys, "score"),
-        "subword": lexical.subword(terms, wanted, keys, known),
+        "subword": similar,
         "path": by_path.join(cut.select(*keys), "path").select("qid", *keys, "score"),
     }
     fused = lexical.fuse(sources, keys, options.ranking_limit)

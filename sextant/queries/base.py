@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def made(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """As the oracles' engine rounds doubles: the scaled double, half away from zero. Spark's own rounds the shortest decimal."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def sql_value(v) -> str:
     if v is None:
         return "NULL"
