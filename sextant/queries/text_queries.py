@@ -455,8 +455,8 @@ def x41_globs(spark, sf_dir):
 def x40_dot_products(spark, sf_dir):
     """For every fiftieth vector."""
     e = table(spark, sf_dir, "embeddings")
-    probes = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("probe"))
-    return vector.in_blocks(probes, lambda q: e.join(F.broadcast(q), F.lit(True)).select("qid", "vec_id", F.round(E(text.dot("embedding", "probe")), 6).alias("score")))
+    probes = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    return vector.in_blocks(probes, lambda q: vector.products(e.select("vec_id", "embedding"), q))
 
 
 ANSWERS = [(1, "<file path=\"/codebase/a/b.ts\"><range>1-20</range><range>30-31</range></file> noise <file path=\"c.go\"></file><file path=\"d.ts\">\n<range>7-9</range></file>"), (2, "nothing"), (3, "<file path=\"x\"><range>bad</range><range>5-2</range></file>")]
