@@ -198,7 +198,7 @@ ISLANDS = """(SELECT k, min(s) AS s, max(e) AS e FROM (SELECT *, sum(fresh) OVER
 
 
 def spans(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").cast("long").alias("s"), E("cast(l_partkey + l_quantity as bigint)").alias("e"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").cast("long").alias("s"), E("cast(rint(l_partkey + l_quantity) as bigint)").alias("e"))  # to the nearest, as the SQL casts
 
 
 @query(f"SELECT k, s, e FROM {ISLANDS.format(gap=5, of=SPANS)}")
