@@ -68,7 +68,7 @@ def hybrid(files: DataFrame, queries: DataFrame, options: Options = Options(), i
     if options.exclude:
         patterns = "|".join(text.glob_pattern(g) for g in options.exclude)
         files = files.where(~E(text.has("path", patterns)))
-    wanted = wanted_terms(queries)
+    wanted = F.broadcast(wanted_terms(queries))  # a batch's terms are few; a common one must not gather in a task
     if index and not options.exclude:
         cut, terms, sized, known = index.chunks, index.postings, index.lengths, index.vocabulary
         similar = lexical.subword(terms, wanted, keys, known)

@@ -65,3 +65,20 @@ def test_rounds_as_the_oracles(spark):
     values = [1.15 / 160 / (1.15 / 25 + 0.85 / 25 + 0.9 / 30), 0.0934375, 1.0000005, -2.5e-6, 0.09343749999999999, 0.1, -1e-9, 2.0]
     want = [r[0] for r in duckdb.execute("select round(unnest(?::double[]), 6)", [values]).fetchall()]
     assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded("v", 6)).collect()] == want
+
+
+def test_similar_words_are_the_expressions(spark):
+    """Of all pairs of made words, against the rule's SQL form."""
+    words = sorted({a + b for a in ("tok", "ab", "", "aaaa", "lic", "x_1") for b in ("en", "aaa", "ens", "ht", "abab", "tokens", "")} - {""})
+    df = spark.createDataFrame([(w,) for w in words], "v string").where("v rlike '^[a-z0-9_$]{4,}$'")
+    asked = df.withColumnRenamed("v", "q")
+    want = {(r.q, r.v): r.sim for r in lexical.fuzzy_pairs(asked, df).collect()}
+    similar = tokens.Similar([r.q for r in asked.collect()])
+    assert {(q, v): sim for v in words for q, sim in similar[v]} == want and len(want) > 50
+
+
+def test_batch_goes_to_all_tasks(spark):
+    """A term that most chunks hold mustn't gather in a task: the batch's terms are broadcast."""
+    files = spark.createDataFrame([(f"p{i}.md", t) for i, t in enumerate(TEXTS)], "path string, text string")
+    queries = spark.createDataFrame([(1, "token email"), (2, "licht version")], "qid int, q string")
+    assert "CartesianProduct" not in plan(search.hybrid(files, queries, search.Options(24, 8)))
